@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minhash, mixing
+from . import line_dedup, media, minhash, mixing
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op8_media_columns, op9_mixing_sources)}
-SQL = {"op9_mixing_sources": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op8_media_columns, op9_mixing_sources)}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op9_mixing_sources": mixing.SQL}
