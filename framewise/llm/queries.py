@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, minhash, mixing
+from . import line_dedup, media, minhash, mixing, toxicity
 from .common import table
 
 
@@ -26,5 +26,9 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op8_media_columns, op9_mixing_sources)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op8_media_columns, op9_mixing_sources, op10_toxicity)}
 SQL = {"op1_line_dedup": line_dedup.SQL, "op9_mixing_sources": mixing.SQL}
