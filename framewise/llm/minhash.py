@@ -11,6 +11,7 @@ first stops there, so the work is one arrival a shingle and a constant.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -180,22 +181,25 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims)], names=["a", "b", "similarity"])
 
 
-def spread_labels(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, label): the smallest id that each of ``nodes`` (id) reaches over ``edges``.
+def spread_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (id, label) after all that ``edges`` (a, b) connect has taken the smallest of its labels.
 
-    Rounds of taking the smallest neighbouring label and then the label's own label, each round a written table, until
-    nothing changes; labels leap, so that the rounds grow with the logarithm of a chain's length.
+    Edges first become edges between labels.  Each round a label takes the smallest label next to it, and then that
+    label's own label; a round is one written table, and the rounds grow with the logarithm of a chain's length.
     """
-    both = stored(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionAll(edges.select(F.col(b), F.col(a))).where("x != y").distinct(), "edges")
-    labels = stored(nodes.select("id", F.col("id").alias("label")), "labels")
+    ends = edges.join(labels.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("y")), "b").where("x != y")
+    both = stored(ends.select("x", "y").unionAll(ends.select("y", "x")).distinct(), "edges")
+    to = stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("to")), "roots")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        leap = step.select(F.col("id").alias("label"), F.col("label").alias("farther"))
-        step = stored(step.join(leap, "label", "left").select("id", "was", F.least("label", "farther").alias("label")), "labels")
-        labels = step.select("id", "label")
-        if step.where("label != was").isEmpty():
-            return labels
+        near = both.join(to.select(F.col("x").alias("y"), F.col("to").alias("near")), "y").groupBy("x").agg(F.min("near").alias("near"))
+        leap = to.select(F.col("x").alias("to"), F.col("to").alias("leap"))
+        step = to.join(near, "x").join(leap, "to").select("x", F.least("to", "near", "leap").alias("to"), (F.least("near", "leap") < F.col("to")).alias("moved"))
+        to = stored(step, "roots")
+        if to.where("moved").isEmpty():
+            break
+        to = to.select("x", "to")
+    out = labels.join(to.select(F.col("x").alias("label"), "to"), "label", "left")
+    return stored(out.select("id", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -206,9 +210,10 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     links of the text to different texts.  Null and empty texts, and null ids, are classes of their own (class_id = doc_id).
     Rows that repeat an id are copies of each other if their texts agree.
 
-    In a bucket of a band only the smallest text of the bucket is compared with the others; what stays in another
-    class is compared again, without that text, until each bucket holds one class or one text.  So every pair of a
-    bucket is compared unless links have joined it before, and never all pairs of a group.
+    In a bucket of a band one text, the centre, is compared with those of other classes.  Where links don't make
+    one class of the bucket, its other texts go on to the next round, with about twice as many centres, until each
+    bucket holds one class or nothing.  So no pair of a bucket goes untried unless links have joined it before, and a
+    group of copies costs as many comparisons as it has texts.
     """
     #: 128 bits of the text: of equal texts only the smallest id goes on.
     slim = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
@@ -221,26 +226,28 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     nodes = stored(members.select("id").distinct(), "nodes")
     shingles = docs.select("doc_id", "text").join(nodes.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
     shingles = stored(shingles.mapInArrow(lambda it: _shingle_rows(it, width), "doc_id long, shingles array<long>"), "shingles")
-    tried, links, labels = None, None, nodes.select("id", F.col("id").alias("label"))
-    while True:
+    tried, links, labels = None, None, stored(nodes.select("id", F.col("id").alias("label")), "labels")
+    for round_no in count():
         open_ = members.join(labels, "id")
-        mixed_up = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("centre")).where("lo != hi")
-        open_ = open_.join(mixed_up.select("bucket", "centre"), "bucket")
-        centre_label = labels.select(F.col("id").alias("centre"), F.col("label").alias("centre_label"))
-        pairs = open_.where("id != centre").join(centre_label, "centre").where("label != centre_label")
-        pairs = pairs.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        mixed_up = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+        central = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("n")) < (1 << min(round_no, 40)) - 1)
+        open_ = stored(open_.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "label", central.alias("central")), "open")
+        centres = open_.where("central").select("bucket", F.col("id").alias("centre"), F.col("label").alias("centre_label"))
+        pairs = open_.join(centres, "bucket").where("label != centre_label and (not central or centre < id)")
+        pairs = pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        members = stored(open_.where("id != centre").select("id", "bucket"), "buckets")
-        if members.isEmpty():
+        members = open_.where("not central").select("id", "bucket")
+        if open_.isEmpty():
             break
         both = pairs.join(shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         new = both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
         new = stored(new.select("a", "b"), "links")
         tried = pairs if tried is None else tried.unionAll(pairs)
-        links = new if links is None else links.unionAll(new)
-        labels = spread_labels(nodes, links)
+        if not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
+            labels = spread_labels(labels, new)
     degree = None
     if links is not None:
         ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
