@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, minhash, mixing, pii, toxicity
+from . import ann, line_dedup, media, minhash, mixing, pii, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,15 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages")).drop("url", "warc_date")
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents")).drop("text_key", "base_spans", "term_spans")
 
@@ -34,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op5_pii, op8_media_columns, op9_mixing_sources, op10_toxicity)}
-SQL = {"op1_line_dedup": line_dedup.SQL, "op9_mixing_sources": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_warc, op4_nearest_neighbours, op5_pii, op8_media_columns, op9_mixing_sources, op10_toxicity)}
+SQL = {"op3_warc": warc.SQL, "op1_line_dedup": line_dedup.SQL, "op9_mixing_sources": mixing.SQL}
