@@ -10,18 +10,21 @@ first stops there, so the work is one arrival a shingle and a constant.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 WIDTH, THRESHOLD = 5, 0.8
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 36, 7
+#: Standard deviations under the threshold at which the registers' own estimate rules a pair out.
+DOUBT = 4.0
 #: Bytes of text that are handled at a time in a task; a longer text is handled alone.
 CHUNK = 1 << 20
 
@@ -145,6 +148,24 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
             lo = hi
 
 
+def _bit_planes(regs: np.ndarray) -> np.ndarray:
+    """Two bits of every register: the words of the first bits, then those of the second."""
+    bits = mixed(regs + _U(17))
+    out = []
+    for plane in (0, 1):
+        flags = (bits >> _U(plane) & _U(1)).astype(np.uint8)
+        flags = np.pad(flags, ((0, 0), (0, -flags.shape[1] % 64)))
+        out.append(np.packbits(flags, axis=1, bitorder="little").view(np.int64))
+    return np.concatenate(out, axis=1)
+
+
+def _disagreements(x: Column, y: Column, words: int) -> Column:
+    """In how many registers two sketches surely differ; a quarter of those that differ don't show."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    each = [F.bit_count(at(x, i).bitwiseXOR(at(y, i)).bitwiseOR(at(x, i + words).bitwiseXOR(at(y, i + words)))) for i in range(words)]
+    return sum(each[1:], each[0])
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch, data, starts in text_chunks(batches):
         words, counts, _ = word_hashes(data, starts)
@@ -155,9 +176,11 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width:
         for r in range(rows):
             keys = mixed(keys * _U(31) + regs[:, :, r] + _U(r + 1))
         keys = mixed(keys ^ np.arange(1, bands + 1, dtype=np.uint64))
+        planes = _bit_planes(regs.reshape(len(starts), -1))
         some = n > 0
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))), pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "text_key", "bands"])
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * planes.shape[1], pa.int32()), pa.array(planes.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketch], names=["doc_id", "text_key", "bands", "sketch"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -213,41 +236,52 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     In a bucket of a band one text, the centre, is compared with those of other classes.  Where links don't make
     one class of the bucket, its other texts go on to the next round, with about twice as many centres, until each
     bucket holds one class or nothing.  So no pair of a bucket goes untried unless links have joined it before, and a
-    group of copies costs as many comparisons as it has texts.
+    group of copies costs as many comparisons as it has texts.  From the second round on, pairs are ruled out without a
+    comparison by the triangle inequality of the Jaccard distance, over the bucket's first centre, or where
+    the registers' estimate lies DOUBT standard deviations under the threshold.
     """
     #: 128 bits of the text: of equal texts only the smallest id goes on.
     slim = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
-    sig = stored(slim.mapInArrow(lambda it: _band_rows(it, bands, rows, width), "doc_id long, text_key string, bands array<long>"), "bands")
+    sig = stored(slim.mapInArrow(lambda it: _band_rows(it, bands, rows, width), "doc_id long, text_key string, bands array<long>, sketch array<long>"), "bands")
     texts = sig.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
     reps = stored(texts.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies")), "reps")
-    of_rep = texts.join(reps, "text_key").where("doc_id = id").dropDuplicates(["id"]).select("id", F.explode("bands").alias("bucket"))
+    of_rep = texts.join(reps, "text_key").where("doc_id = id").dropDuplicates(["id"]).select("id", "sketch", F.explode("bands").alias("bucket"))
     crowded = of_rep.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(of_rep.join(crowded, "bucket"), "buckets")
+    members = stored(of_rep.join(crowded, "bucket").select("id", "bucket", "sketch", F.lit(None).cast("double").alias("pivot")), "buckets")
     nodes = stored(members.select("id").distinct(), "nodes")
     shingles = docs.select("doc_id", "text").join(nodes.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
     shingles = stored(shingles.mapInArrow(lambda it: _shingle_rows(it, width), "doc_id long, shingles array<long>"), "shingles")
     tried, links, labels = None, None, stored(nodes.select("id", F.col("id").alias("label")), "labels")
+    registers, p = bands * rows, threshold + (1 - threshold) / 4
+    most = math.ceil(registers * (1 - p + DOUBT * math.sqrt(p * (1 - p) / registers)))
     for round_no in count():
         open_ = members.join(labels, "id")
         mixed_up = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("lo != hi")
         central = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("n")) < (1 << min(round_no, 40)) - 1)
-        open_ = stored(open_.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "label", central.alias("central")), "open")
-        centres = open_.where("central").select("bucket", F.col("id").alias("centre"), F.col("label").alias("centre_label"))
-        pairs = open_.join(centres, "bucket").where("label != centre_label and (not central or centre < id)")
-        pairs = pairs.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+        open_ = stored(open_.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "sketch", "pivot", "label", "least", central.alias("central")), "open")
+        if open_.isEmpty():
+            break
+        centres = open_.where("central").select(F.col("bucket").alias("of"), F.col("id").alias("centre"), F.col("label").alias("centre_label"), F.col("sketch").alias("centre_sketch"), F.col("pivot").alias("centre_pivot"))
+        other = (F.col("bucket") == F.col("of")) & F.expr("label != centre_label and (not central or centre < id)")
+        if round_no:
+            other &= F.coalesce(F.abs(F.col("pivot") - F.col("centre_pivot")) <= 1 - threshold + 1e-9, F.lit(True))
+            other &= _disagreements(F.col("sketch"), F.col("centre_sketch"), -(-registers // 64)) <= most
+        pairs = open_.join(centres, other).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        members = open_.where("not central").select("id", "bucket")
-        if open_.isEmpty():
-            break
         both = pairs.join(shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        new = both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
-        new = stored(new.select("a", "b"), "links")
+        told = stored(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, similarity double"), "similarities")
+        new = told.where(F.col("similarity") >= threshold).select("a", "b")
         tried = pairs if tried is None else tried.unionAll(pairs)
         if not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             labels = spread_labels(labels, new)
+        members = open_.where("not central").select("id", "bucket", "sketch", "pivot", "least")
+        if not round_no:
+            far = told.select(F.col("a").alias("least"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("pivot"))
+            members = members.drop("pivot").join(far, ["least", "id"], "left")
+        members = members.drop("least")
     degree = None
     if links is not None:
         ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, media, minhash, mixing, pii, substring, toxicity, warc
+from . import ann, line_dedup, media, minhash, mixing, pii, substring, tokens, toxicity, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_warc, op4_nearest_neighbours, op5_pii, op6_substring_dedup, op8_media_columns, op9_mixing_sources, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_warc, op4_nearest_neighbours, op5_pii, op6_substring_dedup, op7_sentencepiece, op8_media_columns, op9_mixing_sources, op10_toxicity)}
 SQL = {"op3_warc": warc.SQL, "op1_line_dedup": line_dedup.SQL, "op9_mixing_sources": mixing.SQL}
