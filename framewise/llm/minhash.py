@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -23,8 +24,13 @@ from .common import stored
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
-#: Standard deviations under the threshold at which the registers' own estimate rules a pair out.
-DOUBT = 4.0
+#: Standard deviations under the threshold at which the registers' own estimate rules a pair out: about as likely
+#: to miss a pair at the threshold as the bands are.
+DOUBT = 3.5
+#: How many times as many centres a bucket has in each round.
+MORE_CENTRES = 4
+#: A band's fingerprint has LANE bits; three of them go in a word, with a free bit above each.
+LANE = 20
 #: Bytes of text that are handled at a time in a task; a longer text is handled alone.
 CHUNK = 1 << 20
 
@@ -159,6 +165,26 @@ def _bit_planes(regs: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def _fingerprints(keys: np.ndarray) -> np.ndarray:
+    """LANE bits of every band's key, three to a word."""
+    short = np.pad(keys >> _U(64 - LANE), ((0, 0), (0, -keys.shape[1] % 3)))
+    lanes = short.reshape(len(keys), -1, 3) << (np.arange(3, dtype=np.uint64) * _U(LANE + 1))
+    return np.bitwise_or.reduce(lanes, axis=2).view(np.int64)
+
+
+def _shared_before(x: Column, y: Column, band: Column, words: int) -> Column:
+    """Whether the fingerprints of two texts agree in a band before number ``band``."""
+    low = sum(((1 << LANE) - 1) << (LANE + 1) * j for j in range(3))
+    flag = [1 << LANE + (LANE + 1) * j for j in range(3)]
+
+    def agree(k: int) -> Column:
+        differ = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k))) + F.lit(low)  # the free bit is set where a lane isn't 0
+        told = F.when(band >= 3 * k + 3, F.lit(sum(flag))).when(band == 3 * k + 2, F.lit(flag[0] | flag[1])).when(band == 3 * k + 1, F.lit(flag[0])).otherwise(F.lit(0).cast("long"))
+        return F.bitwise_not(differ).bitwiseAND(told) != 0
+
+    return reduce(lambda a, b: a | b, map(agree, range(words)))
+
+
 def _disagreements(x: Column, y: Column, words: int) -> Column:
     """In how many registers two sketches surely differ; a quarter of those that differ don't show."""
     at = lambda c, i: F.get(c, F.lit(i))
@@ -180,7 +206,9 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width:
         some = n > 0
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))), pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * planes.shape[1], pa.int32()), pa.array(planes.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketch], names=["doc_id", "text_key", "bands", "sketch"])
+        prints = _fingerprints(keys)
+        prints = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * prints.shape[1], pa.int32()), pa.array(prints.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketch, prints], names=["doc_id", "text_key", "bands", "sketch", "prints"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -234,20 +262,22 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     Rows that repeat an id are copies of each other if their texts agree.
 
     In a bucket of a band one text, the centre, is compared with those of other classes.  Where links don't make
-    one class of the bucket, its other texts go on to the next round, with about twice as many centres, until each
-    bucket holds one class or nothing.  So no pair of a bucket goes untried unless links have joined it before, and a
+    one class of the bucket, its other texts go on to the next round, with MORE_CENTRES times as many centres, until
+    each bucket holds one class or nothing.  So no pair of a bucket goes untried unless links have joined it before, and a
     group of copies costs as many comparisons as it has texts.  From the second round on, pairs are ruled out without a
     comparison by the triangle inequality of the Jaccard distance, over the bucket's first centre, or where
-    the registers' estimate lies DOUBT standard deviations under the threshold.
+    the registers' estimate lies DOUBT standard deviations under the threshold, and a pair of several buckets is left to
+    that of the first band.
     """
     #: 128 bits of the text: of equal texts only the smallest id goes on.
     slim = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
-    sig = stored(slim.mapInArrow(lambda it: _band_rows(it, bands, rows, width), "doc_id long, text_key string, bands array<long>, sketch array<long>"), "bands")
+    sig = stored(slim.mapInArrow(lambda it: _band_rows(it, bands, rows, width), "doc_id long, text_key string, bands array<long>, sketch array<long>, prints array<long>"), "bands")
     texts = sig.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
     reps = stored(texts.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies")), "reps")
-    of_rep = texts.join(reps, "text_key").where("doc_id = id").dropDuplicates(["id"]).select("id", "sketch", F.explode("bands").alias("bucket"))
-    crowded = of_rep.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(of_rep.join(crowded, "bucket").select("id", "bucket", "sketch", F.lit(None).cast("double").alias("pivot")), "buckets")
+    of_rep = stored(texts.join(reps, "text_key").where("doc_id = id").dropDuplicates(["id"]).select("id", "bands", "sketch", "prints"), "signatures")
+    every = of_rep.select("id", F.posexplode("bands").alias("band", "bucket"))
+    crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = stored(every.join(crowded, "bucket").join(of_rep.drop("bands"), "id").withColumn("pivot", F.lit(None).cast("double")), "buckets")
     nodes = stored(members.select("id").distinct(), "nodes")
     shingles = docs.select("doc_id", "text").join(nodes.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
     shingles = stored(shingles.mapInArrow(lambda it: _shingle_rows(it, width), "doc_id long, shingles array<long>"), "shingles")
@@ -257,15 +287,16 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     for round_no in count():
         open_ = members.join(labels, "id")
         mixed_up = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("lo != hi")
-        central = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("n")) < (1 << min(round_no, 40)) - 1)
-        open_ = stored(open_.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "sketch", "pivot", "label", "least", central.alias("central")), "open")
+        central = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("n")) < min(MORE_CENTRES**round_no, 1 << 40) - 1)
+        open_ = stored(open_.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "band", "sketch", "prints", "pivot", "label", "least", central.alias("central")), "open")
         if open_.isEmpty():
             break
-        centres = open_.where("central").select(F.col("bucket").alias("of"), F.col("id").alias("centre"), F.col("label").alias("centre_label"), F.col("sketch").alias("centre_sketch"), F.col("pivot").alias("centre_pivot"))
+        centres = open_.where("central").select(F.col("bucket").alias("of"), F.col("id").alias("centre"), F.col("label").alias("centre_label"), F.col("sketch").alias("centre_sketch"), F.col("pivot").alias("centre_pivot"), F.col("prints").alias("centre_prints"))
         other = (F.col("bucket") == F.col("of")) & F.expr("label != centre_label and (not central or centre < id)")
         if round_no:
             other &= F.coalesce(F.abs(F.col("pivot") - F.col("centre_pivot")) <= 1 - threshold + 1e-9, F.lit(True))
             other &= _disagreements(F.col("sketch"), F.col("centre_sketch"), -(-registers // 64)) <= most
+            other &= ~_shared_before(F.col("prints"), F.col("centre_prints"), F.col("band"), -(-bands // 3))
         pairs = open_.join(centres, other).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -277,7 +308,7 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
         if not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             labels = spread_labels(labels, new)
-        members = open_.where("not central").select("id", "bucket", "sketch", "pivot", "least")
+        members = open_.where("not central").select("id", "bucket", "band", "sketch", "prints", "pivot", "least")
         if not round_no:
             far = told.select(F.col("a").alias("least"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("pivot"))
             members = members.drop("pivot").join(far, ["least", "id"], "left")
