@@ -119,8 +119,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_
     pairs = contexts.select("entity", F.explode("terms").alias("term"))
     joint = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_contexts).withColumn("term_key", F.xxhash64("term")), "joint")
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.char_length("w") >= MIN_TERM)
-    wanted = joint.select("term_key").distinct()
-    freq = words.select(F.xxhash64("w").alias("term_key")).join(wanted, "term_key", "left_semi").groupBy("term_key").agg(F.count(F.lit(1)).alias("freq"))
+    freq = words.groupBy(F.xxhash64("w").alias("term_key")).agg(F.count(F.lit(1)).alias("freq"))
     share = contexts.groupBy("entity").agg(F.sum(F.size("terms")).alias("reach"))
     total = docs.agg(F.sum(F.char_length("text")).alias("chars")).first()["chars"] or 1
     #: Places for a word: about one to seven characters.
