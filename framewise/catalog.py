@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from framewise.queries import intervals, maps, pooled, sequence  # noqa: F401
+from framewise.queries.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
