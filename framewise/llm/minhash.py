@@ -139,8 +139,8 @@ def prob_minhash(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_doc
     return owner.reshape(n_docs, m)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes of their texts, where each text starts) of about CHUNK bytes at a time."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes of their texts, where each text starts) of about ``size`` bytes at a time."""
     for whole in batches:
         text = whole.column(whole.schema.get_field_index(column)).fill_null("").cast(pa.large_string())
         _, offsets, data = text.buffers()
@@ -148,7 +148,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         lo = 0
         while lo < whole.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
             hi = min(hi, whole.num_rows, lo + 8192)
             yield whole.slice(lo, hi - lo), raw[off[lo] : off[hi]], off[lo:hi] - off[lo]
             lo = hi
