@@ -54,7 +54,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK)
         for name, base in (("up", _R), ("down", _R_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -209,6 +209,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width:
         prints = _fingerprints(keys)
         prints = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * prints.shape[1], pa.int32()), pa.array(prints.reshape(-1)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sketch, prints], names=["doc_id", "text_key", "bands", "sketch", "prints"])
+    pa.default_memory_pool().release_unused()
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
