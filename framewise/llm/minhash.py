@@ -233,8 +233,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims)], names=["a", "b", "similarity"])
 
 
-def spread_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """``labels`` (id, label) after all that ``edges`` (a, b) connect has taken the smallest of its labels.
+def spread_labels(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``labels`` (id, label) after all that ``edges`` (a, b) connect has taken the smallest of its labels; and which labels (x) became which (to).
 
     Edges first become edges between labels.  Each round a label takes the smallest label next to it, and then that
     label's own label; a round is one written table, and the rounds grow with the logarithm of a chain's length.
@@ -251,7 +251,7 @@ def spread_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
             break
         to = to.select("x", "to")
     out = labels.join(to.select(F.col("x").alias("label"), "to"), "label", "left")
-    return stored(out.select("id", F.coalesce("to", "label").alias("label")), "labels")
+    return stored(out.select("id", F.coalesce("to", "label").alias("label")), "labels"), to.select("x", "to")
 
 
 def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -278,7 +278,7 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     of_rep = stored(texts.join(reps, "text_key").where("doc_id = id").dropDuplicates(["id"]).select("id", "bands", "sketch", "prints"), "signatures")
     every = of_rep.select("id", F.posexplode("bands").alias("band", "bucket"))
     crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(every.join(crowded, "bucket").join(of_rep.drop("bands"), "id").withColumn("pivot", F.lit(None).cast("double")), "buckets")
+    members = stored(every.join(crowded, "bucket").join(of_rep.drop("bands"), "id").select("id", "bucket", "band", "sketch", "prints", F.lit(None).cast("double").alias("pivot"), F.col("id").alias("label")), "buckets")
     nodes = stored(members.select("id").distinct(), "nodes")
     shingles = docs.select("doc_id", "text").join(nodes.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
     shingles = stored(shingles.mapInArrow(lambda it: _shingle_rows(it, width), "doc_id long, shingles array<long>"), "shingles")
@@ -286,10 +286,9 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     registers, p = bands * rows, threshold + (1 - threshold) / 4
     most = math.ceil(registers * (1 - p + DOUBT * math.sqrt(p * (1 - p) / registers)))
     for round_no in count():
-        open_ = members.join(labels, "id")
-        mixed_up = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+        mixed_up = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("lo != hi")
         central = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("n")) < min(MORE_CENTRES**round_no, 1 << 40) - 1)
-        open_ = stored(open_.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "band", "sketch", "prints", "pivot", "label", "least", central.alias("central")), "open")
+        open_ = stored(members.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "band", "sketch", "prints", "pivot", "label", "least", central.alias("central")), "open")
         if open_.isEmpty():
             break
         centres = open_.where("central").select(F.col("bucket").alias("of"), F.col("id").alias("centre"), F.col("label").alias("centre_label"), F.col("sketch").alias("centre_sketch"), F.col("pivot").alias("centre_pivot"), F.col("prints").alias("centre_prints"))
@@ -306,10 +305,11 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
         told = stored(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, similarity double"), "similarities")
         new = told.where(F.col("similarity") >= threshold).select("a", "b")
         tried = pairs if tried is None else tried.unionAll(pairs)
+        members = open_.where("not central").select("id", "bucket", "band", "sketch", "prints", "pivot", "label", "least")
         if not new.isEmpty():
             links = new if links is None else links.unionAll(new)
-            labels = spread_labels(labels, new)
-        members = open_.where("not central").select("id", "bucket", "band", "sketch", "prints", "pivot", "least")
+            labels, became = spread_labels(labels, new)
+            members = members.join(became.withColumnRenamed("x", "label"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
         if not round_no:
             far = told.select(F.col("a").alias("least"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("pivot"))
             members = members.drop("pivot").join(far, ["least", "id"], "left")
