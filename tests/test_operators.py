@@ -14,7 +14,7 @@ def spans(df):
 
 
 def cell(spark, values, name="v"):
-    return spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], f"cell long, frame long, {name} double")
+    return spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)], f"cell long, frame long, {name} double")
 
 
 def test_merges(spark):
