@@ -162,3 +162,9 @@ def test_toxicity_on_held_out_documents(spark):
     caught = held[held.toxic == 1].predicted.mean()
     print("agree", agree, "caught", caught, len(held))
     assert agree >= 0.95 and caught >= 0.8
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "dup"), (7, "dup\nb"), (7, "only here\nc"), (7, "only here\nc")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.deduplicated(docs).collect())
+    assert got == [(1, "dup", 0), (7, "b", 1), (7, "only here\nc", 0), (7, "only here\nc", 0)]
