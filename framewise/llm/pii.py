@@ -5,7 +5,7 @@ entity e and every word t within a few words of one of its mentions, the corpus
 occurrences that lie in the context of e.  The disclosure of e by t is their pointwise mutual information
 as a share of the information content of e, PMI(e;t) / IC(e) = 1 + log p(e|t) / -log p(e): 1 if t never occurs without
 e.  Near mentions of e, terms above one threshold are generalised and terms above a higher one removed.
-Equal contexts (copies of a passage) count once, and a term needs several different contexts with e.
+Every occurrence counts, in copies too, and a term needs several different contexts with e (copies of a passage are one).
 
 Everything is DataFrame functions.
 """
@@ -117,10 +117,15 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_
     contexts = found.select(F.explode("mentions").alias("m")).select("m.entity", F.array_sort(F.array_distinct(F.transform("m.terms", lambda t: t["term"]))).alias("terms")).distinct()
     contexts = stored(contexts, "contexts")
     pairs = contexts.select("entity", F.explode("terms").alias("term"))
-    joint = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_contexts).withColumn("term_key", F.xxhash64("term")), "joint")
+    often = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts)
+    #: Places of a word near an entity, once each, over all rows: what freq counts too.
+    places = F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term"), t["start"].alias("start"))))
+    near = found.where(F.size("mentions") > 0).select(F.explode(F.array_distinct(F.flatten(places))).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("joint"))
+    near = stored(near, "near-words")
+    joint = stored(near.join(often, ["entity", "term"]).select("entity", "term", "joint", F.xxhash64("term").alias("term_key")), "joint")
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.char_length("w") >= MIN_TERM)
     freq = words.groupBy(F.xxhash64("w").alias("term_key")).agg(F.count(F.lit(1)).alias("freq"))
-    share = contexts.groupBy("entity").agg(F.sum(F.size("terms")).alias("reach"))
+    share = near.groupBy("entity").agg(F.sum("joint").alias("reach"))
     total = docs.agg(F.sum(F.char_length("text")).alias("chars")).first()["chars"] or 1
     #: Places for a word: about one to seven characters.
     ic = -F.log2(F.least(F.lit(0.5), F.col("reach") / F.lit(max(total / 7, 1.0))))

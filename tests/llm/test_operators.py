@@ -168,3 +168,11 @@ def test_lines_of_texts_that_share_an_id(spark):
     docs = spark.createDataFrame([(1, "dup"), (7, "dup\nb"), (7, "only here\nc"), (7, "only here\nc")], "doc_id long, text string")
     got = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.deduplicated(docs).collect())
     assert got == [(1, "dup", 0), (7, "b", 1), (7, "only here\nc", 0), (7, "only here\nc", 0)]
+
+
+def test_terms_of_copied_documents(spark):
+    texts = [f"alpha{'bcd'[i]}word talks to Zorblax at zed@corp.example about {x} things" for i, x in enumerate(["many", "other", "good"])]
+    filler = " ".join(w.replace("w", "filler") for w in words(3, 200))
+    docs = frame(spark, [texts[0]] * 300 + texts[1:] + [filler] * 20)
+    got = {r.term: r.disclosure for r in pii.disclosing_terms(pii.base_spans(docs), docs).collect()}
+    assert got["zorblax"] == 1
