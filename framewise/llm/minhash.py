@@ -1,9 +1,9 @@
 """Near-duplicate documents: ProbMinHash signatures, banding, exact verification, connected classes.
 
-A document's shingles are its runs of five white-space separated words (all its words, if fewer).  A shingle
-that occurs c times weighs 1 + ln c.  Each shingle is a Poisson process whose rate is its weight; an arrival
+A document's shingles are its runs of five white-space separated words (all its words, if fewer).  Links
+are defined on sets of shingles, so each distinct shingle weighs 1.  Each shingle is a Poisson process whose rate is its weight; an arrival
 goes to one of m registers, which keep the earliest arrival's shingle.  Two documents agree in a register with
-a probability equal to the probability Jaccard similarity of their weighted shingles.  Registers fill up after
+a probability equal to the probability Jaccard similarity of their weighted shingles, which is that of the sets at weight 1.  Registers fill up after
 about m ln m arrivals of all shingles together, and a shingle whose next arrival is later than every register's
 first stops there, so the work is one arrival a shingle and a constant.
 """
@@ -196,8 +196,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width:
     for batch, data, starts in text_chunks(batches):
         words, counts, _ = word_hashes(data, starts)
         sh, n = shingle_hashes(words, counts, width)
-        doc, shingle, times = distinct_shingles(sh, n)
-        regs = prob_minhash(doc, shingle, 1.0 + np.log(times), len(starts), bands * rows).reshape(-1, bands, rows)
+        doc, shingle, _ = distinct_shingles(sh, n)
+        regs = prob_minhash(doc, shingle, np.ones(len(doc)), len(starts), bands * rows).reshape(-1, bands, rows)
         keys = np.zeros(regs.shape[:2], np.uint64)
         for r in range(rows):
             keys = mixed(keys * _U(31) + regs[:, :, r] + _U(r + 1))

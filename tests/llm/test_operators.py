@@ -176,3 +176,14 @@ def test_terms_of_copied_documents(spark):
     docs = frame(spark, [texts[0]] * 300 + texts[1:] + [filler] * 20)
     got = {r.term: r.disclosure for r in pii.disclosing_terms(pii.base_spans(docs), docs).collect()}
     assert got["zorblax"] == 1
+
+
+def test_near_duplicates_with_repeated_passages(spark):
+    texts = []
+    for s in range(20):
+        w = words(500 + s, 110)
+        texts += [" ".join(w), " ".join(w[:4] + ["yy"] + w[5:55] * 50 + w[55:])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    got = {r.doc_id: r.class_id for r in minhash.duplicate_classes(frame(spark, texts)).collect()}
+    for i in range(0, 40, 2):
+        assert len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) and got[i + 1] == i
