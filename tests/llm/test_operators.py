@@ -187,3 +187,10 @@ def test_near_duplicates_with_repeated_passages(spark):
     got = {r.doc_id: r.class_id for r in minhash.duplicate_classes(frame(spark, texts)).collect()}
     for i in range(0, 40, 2):
         assert len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) and got[i + 1] == i
+
+
+def test_passage_with_an_inserted_word():
+    a = np.arange(100, 160)
+    b = np.concatenate(([1, 2, 3], a[:30], [7], a[30:], [4, 5]))
+    want = [(0, 60, 3, 64, 52 / 61)]
+    assert substring.passages(a, b, [-3]) == want and substring.passages(a, b, [-4]) == want
