@@ -194,3 +194,29 @@ def test_passage_with_an_inserted_word():
     b = np.concatenate(([1, 2, 3], a[:30], [7], a[30:], [4, 5]))
     want = [(0, 60, 3, 64, 52 / 61)]
     assert substring.passages(a, b, [-3]) == want and substring.passages(a, b, [-4]) == want
+
+
+def _around(seed, passage):
+    return " ".join(words(10 * seed, 70) + passage + words(10 * seed + 1, 70))
+
+
+def test_recall_of_edited_passages(spark):
+    texts = []
+    for s in range(200):
+        a = words(20000 + s, 50)
+        texts += [_around(2 * s + 3000, a), _around(2 * s + 3001, a[: 15 + s % 20] + ["xx"] + a[16 + s % 20 :])]
+    got = {(r.doc_id, r.source_doc_id) for r in substring.repeated_passages(frame(spark, texts)).collect()}
+    found = sum((2 * s + 1, 2 * s) in got for s in range(200))
+    print("recall", found / 200)
+    assert found >= 198
+
+
+def test_each_function_finds_exact_passages(spark):
+    texts = []
+    for s in range(100):
+        a = words(30000 + s, 51)
+        texts += [_around(2 * s + 6000, a), _around(2 * s + 6001, a)]
+    got = {(r.doc_id, r.source_doc_id) for r in substring.repeated_passages(frame(spark, texts), hashes=1).collect()}
+    found = sum((2 * s + 1, 2 * s) in got for s in range(100))
+    print("recall", found / 100)
+    assert found == 100
