@@ -220,3 +220,13 @@ def test_each_function_finds_exact_passages(spark):
     found = sum((2 * s + 1, 2 * s) in got for s in range(100))
     print("recall", found / 100)
     assert found == 100
+
+
+def test_passages_of_later_holders(spark):
+    texts = []
+    for s in range(20):
+        a = words(9000 + s, 60)
+        b = a[:20] + ["xx"] + a[21:40] + ["yy"] + a[41:]
+        texts += [_around(3 * s + 1000, a), _around(3 * s + 1001, b), _around(3 * s + 1002, b)]
+    got = {(r.doc_id, r.source_doc_id) for r in substring.repeated_passages(frame(spark, texts)).collect()}
+    assert all((3 * s + 2, 3 * s + 1) in got for s in range(20))
