@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.binding import binned, bursts, frames, maps, returned, spikes
@@ -11,7 +11,9 @@ from framewise.operators import grids as G
 from framewise.operators import intervals as I
 from framewise.queries.registry import query, r, with_tables
 
-ERR = F.col("kind") == "error"
+
+def is_error() -> Column:
+    return F.col("kind") == "error"
 
 
 @query(with_tables("fb", f"SELECT cell, ix, iy, {r('count(*) / 10.0', 'occ')} FROM fb GROUP BY ALL"))
@@ -29,7 +31,7 @@ def _coarse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("fb", f"SELECT cell, ix, iy, n, {r('n / occ', 'rate')} FROM rm", RATE))
 def a9_rate_map(spark: SparkSession, d: str) -> DataFrame:
-    return returned(G.rate_map(_coarse(spark, d), ERR, 10.0, "cell", "ix", "iy"), "cell", "ix", "iy", "n", "rate")
+    return returned(G.rate_map(_coarse(spark, d), is_error(), 10.0, "cell", "ix", "iy"), "cell", "ix", "iy", "n", "rate")
 
 
 @query(with_tables("fb", f"SELECT ix, iy, {r('avg(v)', 'mean')}, count(*) AS n FROM fb GROUP BY ALL"))
@@ -48,7 +50,7 @@ CIRC = "ch AS (SELECT cell, CAST(floor(hd / 15) AS BIGINT) AS bin, count(*) / 10
 
 
 def _tuning(fr: DataFrame, *by: str) -> DataFrame:
-    return G.rate_map(fr.withColumn("bin", F.floor(F.col("hd") / 15).cast("long")), ERR, 10.0, *by, "bin").withColumn("centre", F.col("bin") * 15 + 7.5)
+    return G.rate_map(fr.withColumn("bin", F.floor(F.col("hd") / 15).cast("long")), is_error(), 10.0, *by, "bin").withColumn("centre", F.col("bin") * 15 + 7.5)
 
 
 @query(with_tables("fr", f"SELECT cell, bin, {r('occ', 'occ')}, {r('n / occ', 'rate')} FROM ch", CIRC))
@@ -88,7 +90,7 @@ mn AS (SELECT *, sum(p * rate) OVER (PARTITION BY cell) AS mean FROM pr)"""
 
 @query(with_tables("fb", f"SELECT cell, {r('sum(CASE WHEN mean > 0 THEN rate * log2(rate / mean + 1e-15) * p ELSE 0 END)', 'info')} FROM mn GROUP BY cell", RATE + ",\n" + INFO))
 def a16_spatial_information(spark: SparkSession, d: str) -> DataFrame:
-    return returned(G.spatial_information(G.rate_map(_coarse(spark, d), ERR, 10.0, "cell", "ix", "iy"), "cell"))
+    return returned(G.spatial_information(G.rate_map(_coarse(spark, d), is_error(), 10.0, "cell", "ix", "iy"), "cell"))
 
 
 @query(
@@ -101,7 +103,7 @@ def a17_time_bins(spark: SparkSession, d: str) -> DataFrame:
 
     fr = frames(spark, d).withColumn("f0", F.min("frame").over(W.partitionBy("cell", "session")))
     t = fr.groupBy("cell", "session", F.floor((F.col("frame") - F.col("f0")) / 5).cast("long").alias("bin")).agg(
-        F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("hd").alias("hd"), F.sum(ERR.cast("long")).alias("spikes"), F.count("vn").alias("n")
+        F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("hd").alias("hd"), F.sum(is_error().cast("long")).alias("spikes"), F.count("vn").alias("n")
     )
     return returned(t.where("n = 5"), "cell", "session", "bin", "x", "y", "hd", "spikes")
 
@@ -162,7 +164,7 @@ ns AS (SELECT cell, shift, round(sum(CASE WHEN mean > 0 THEN rate * log2(rate /
 @query(with_tables("fb", f"SELECT a.cell, a.info, {r('count(*) FILTER (WHERE b.info >= a.info) / CAST(count(*) AS DOUBLE)', 'p')} FROM ns a JOIN ns b USING (cell) WHERE a.shift = 0 AND b.shift > 0 GROUP BY a.cell, a.info", SHIFTED))
 def m2_shuffle_information(spark: SparkSession, d: str) -> DataFrame:
     """Twenty circular shifts of the spikes against the path, and how many of them hold as much information."""
-    b = _coarse(spark, d).select("cell", "frame", "ix", "iy", ERR.alias("hit"))
+    b = _coarse(spark, d).select("cell", "frame", "ix", "iy", is_error().alias("hit"))
     rates = G.rate_map(G.circular_shift_null(b, "hit", 20, "cell"), F.col("hit"), 10.0, "cell", "shift", "ix", "iy")
     info = returned(G.spatial_information(rates, "cell", "shift"))
     return returned(G.shuffle_p(info, "info", "cell"))
@@ -233,7 +235,7 @@ FIELD = "pf AS (SELECT DISTINCT cell, ix, iy FROM fb WHERE kind = 'error')"
 @query(with_tables("fb", "SELECT cell, session, ix IS NOT NULL AS in_field, count(*) AS frames, CAST(sum(CASE WHEN kind = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT fb.cell, session, kind, pf.ix FROM fb LEFT JOIN pf ON pf.cell = fb.cell AND pf.ix = fb.ix AND pf.iy = fb.iy) GROUP BY ALL", FIELD))
 def a20_state_field_rates(spark: SparkSession, d: str) -> DataFrame:
     b = binned(frames(spark, d))
-    field = b.where(ERR).select("cell", "ix", "iy").distinct().withColumn("in_field", F.lit(True))
+    field = b.where(is_error()).select("cell", "ix", "iy").distinct().withColumn("in_field", F.lit(True))
     j = b.join(field, ["cell", "ix", "iy"], "left").withColumn("in_field", F.coalesce("in_field", F.lit(False)))
     return j.groupBy("cell", "session", "in_field").agg(F.count(F.lit(1)).alias("frames"), F.sum((F.col("kind") == "view").cast("long")).alias("n"))
 

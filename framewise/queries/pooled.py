@@ -13,12 +13,11 @@ from framewise.operators import sequence as S
 from framewise.operators import signals as G
 from framewise.operators import statistics as T
 from framewise.plans.trace_view import trace_view
+from framewise.queries.maps import is_error
 from framewise.queries.registry import CELL, query, r, with_tables
 from framewise.queries.sequence import BASELINE
 from framewise.streaming.spike_sessions import event_sessions
 
-CELLW = W.partitionBy("cell")
-ERR = F.col("kind") == "error"
 
 VIEW = f"""vw AS (SELECT cell, frame, CASE WHEN EXISTS (SELECT 1 FROM bu WHERE bu.cell = f.cell AND f.frame BETWEEN lo AND hi) THEN NULL ELSE v END AS vn FROM fr f WHERE frame BETWEEN 4 AND 59),
 {BASELINE.replace("FROM fr f JOIN", "FROM vw f JOIN").replace("FROM fr GROUP", "FROM vw GROUP")},
@@ -38,13 +37,13 @@ def entry_windowed_trace_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("fr", f"SELECT cell, frame, {r('(vn - avg(vn) OVER c) / CASE WHEN stddev_pop(vn) OVER c > 0 THEN stddev_pop(vn) OVER c ELSE 1 END', 'z')} FROM fr WINDOW c AS (PARTITION BY cell)"))
 def a1_z_score(spark: SparkSession, d: str) -> DataFrame:
-    sd = F.stddev_pop("vn").over(CELLW)
-    return returned(frames(spark, d).withColumn("z", (F.col("vn") - F.avg("vn").over(CELLW)) / F.when(sd > 0, sd).otherwise(1.0)), "cell", "frame", "z")
+    sd = F.stddev_pop("vn").over(W.partitionBy("cell"))
+    return returned(frames(spark, d).withColumn("z", (F.col("vn") - F.avg("vn").over(W.partitionBy("cell"))) / F.when(sd > 0, sd).otherwise(1.0)), "cell", "frame", "z")
 
 
 @query(with_tables("fr", f"SELECT cell, frame, {r('CASE WHEN hi > lo THEN (vn - lo) / (hi - lo) ELSE 0 END', 'n')} FROM (SELECT *, min(vn) OVER (PARTITION BY cell) AS lo, max(vn) OVER (PARTITION BY cell) AS hi FROM fr)"))
 def a2_unit_range(spark: SparkSession, d: str) -> DataFrame:
-    lo, hi = F.min("vn").over(CELLW), F.max("vn").over(CELLW)
+    lo, hi = F.min("vn").over(W.partitionBy("cell")), F.max("vn").over(W.partitionBy("cell"))
     return returned(frames(spark, d).withColumn("n", F.when(hi > lo, (F.col("vn") - lo) / (hi - lo)).otherwise(0.0)), "cell", "frame", "n")
 
 
@@ -171,7 +170,7 @@ def a34_segment_snr(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("fr", f"SELECT cell, frame, {r('v - low', 'height')} FROM (SELECT *, min(v) OVER ({CELL} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS low FROM fr) WHERE kind = 'error' AND low IS NOT NULL"))
 def a35_spike_height(spark: SparkSession, d: str) -> DataFrame:
     low = F.min("v").over(S.by_cell().rowsBetween(-3, -1))
-    return returned(frames(spark, d).withColumn("low", low).where(ERR & F.col("low").isNotNull()).withColumn("height", F.col("v") - F.col("low")), "cell", "frame", "height")
+    return returned(frames(spark, d).withColumn("low", low).where(is_error() & F.col("low").isNotNull()).withColumn("height", F.col("v") - F.col("low")), "cell", "frame", "height")
 
 
 @query(with_tables("fr", f"SELECT {r('min(m)', 'lo')}, {r('max(m)', 'hi')} FROM (SELECT cell, avg(v) AS m FROM fr GROUP BY cell)"))
@@ -454,7 +453,7 @@ def m22_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("fr", "SELECT cell, frame, CAST(floor(frame * 5 / n) AS BIGINT) % 5 AS fold FROM (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM fr)"))
 def m27_sections(spark: SparkSession, d: str) -> DataFrame:
-    n = F.count(F.lit(1)).over(CELLW)
+    n = F.count(F.lit(1)).over(W.partitionBy("cell"))
     return frames(spark, d).select("cell", "frame", (F.floor(F.col("frame") * 5 / n) % 5).cast("long").alias("fold"))
 
 
@@ -470,7 +469,7 @@ def m32_heading_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("fr", f"SELECT cell, frame, round(x - avg(x) OVER c, 9) + 0.0 AS dx, round(y - avg(y) OVER c, 9) + 0.0 AS dy, round(pow(x - avg(x) OVER c, 2), 9) + 0.0 AS dx2, round(pow(y - avg(y) OVER c, 2), 9) + 0.0 AS dy2, round((x - avg(x) OVER c) * (y - avg(y) OVER c), 9) + 0.0 AS dxdy FROM fr WINDOW c AS (PARTITION BY cell)"))
 def g23_motion_regressors(spark: SparkSession, d: str) -> DataFrame:
-    c = frames(spark, d).withColumns({"dx": F.col("x") - F.avg("x").over(CELLW), "dy": F.col("y") - F.avg("y").over(CELLW)})
+    c = frames(spark, d).withColumns({"dx": F.col("x") - F.avg("x").over(W.partitionBy("cell")), "dy": F.col("y") - F.avg("y").over(W.partitionBy("cell"))})
     c = c.withColumns({"dx2": F.col("dx") * F.col("dx"), "dy2": F.col("dy") * F.col("dy"), "dxdy": F.col("dx") * F.col("dy")})
     return returned(c, "cell", "frame", "dx", "dy", "dx2", "dy2", "dxdy", digits=9)
 
@@ -498,7 +497,7 @@ def w12_find_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m26_poisson_tuning(spark: SparkSession, d: str) -> DataFrame:
-    c = frames(spark, d).groupBy("cell", F.floor(F.col("hd") / 30).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("frames"), F.sum(ERR.cast("long")).alias("spikes"))
+    c = frames(spark, d).groupBy("cell", F.floor(F.col("hd") / 30).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("frames"), F.sum(is_error().cast("long")).alias("spikes"))
     return returned(G.poisson_tuning(c, 12, 1.0))
 
 
