@@ -1,11 +1,15 @@
-"""Personal data: fixed patterns, and terms that reveal a protected entity by how often they occur near it.
+"""Personal data: fixed patterns, and terms that reveal a protected entity by how they occur with it in the corpus.
 
-A protected entity is the value of an email address, address of a host, card or phone number.  For every
-entity e and every word t within a few words of one of its mentions, the corpus tells p(e|t), the share of t's
-occurrences that lie in the context of e.  The disclosure of e by t is their pointwise mutual information
-as a share of the information content of e, PMI(e;t) / IC(e) = 1 + log p(e|t) / -log p(e): 1 if t never occurs without
-e.  Near mentions of e, terms above one threshold are generalised and terms above a higher one removed.
-Every occurrence counts, in copies too, and a term needs several different contexts with e (copies of a passage are one).
+A protected entity is the value of an email address, address of a host, card or phone number.  The corpus tells, over whole
+documents, p(e), the share of documents that hold entity e, and p(e|t), the share of the documents with word t that hold e.
+The disclosure of e by t is their pointwise mutual information as a share of the information content of e,
+PMI(e;t) / IC(e) = 1 + log p(e|t) / -log p(e): 1 if t never occurs without e.  In documents that hold e, terms above one
+threshold are generalised and terms above a higher one removed, wherever they stand.
+
+Copies count in both shares alike.  They aren't evidence, though: a term needs texts with e that are unlike one another
+(under each of SKETCHES min-hashes of their words), and texts times PMI must reach MIN_BITS, so that chance meetings with an
+entity of many documents don't count.  As p(e|t) is at most docs(e) / docs(t), words of too many documents are
+dropped before they meet any entity.
 
 Everything is DataFrame functions.
 """
@@ -29,8 +33,9 @@ PATTERNS = {
 }
 #: What a text must hold for a match that counts.
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-REACH, MIN_TERM = 48, 4
-MIN_CONTEXTS, GENERALISE, REMOVE = 3, 0.85, 0.95
+MIN_TERM, SKETCHES, MIN_BITS = 4, 2, 12.0
+GENERALISE, REMOVE = 0.85, 0.95
+WORD = rf"\p{{L}}{{{MIN_TERM},}}"
 BLOCK = 256
 
 
@@ -82,78 +87,113 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _context(text: Column, start: Column, end: Column) -> Column:
-    """Lower-case words near a span as structs (term, start, end), none cut off by the edge of the window or touching the span."""
-    word = rf"\p{{L}}{{{MIN_TERM},}}"
-    at = F.greatest(start - REACH, F.lit(0))
-    left, right = F.substring(text, at + 1, start - at), F.substring(text, end + 1, F.lit(REACH))
-    cut = F.when(at > 0, F.char_length(F.regexp_extract(left, r"^\p{L}+", 0))).otherwise(F.lit(0))
-    inner = matches(F.concat(F.rpad(F.lit(""), cut, " "), F.substring(left, cut + 1, F.lit(REACH))), word)
-    after = matches(F.regexp_replace(right, r"\p{L}+$", ""), word)
-    left_terms = F.transform(inner, lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + at).alias("start"), (m["end"] + at).alias("end")))
-    right_terms = F.transform(after, lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + end).alias("start"), (m["end"] + end).alias("end")))
-    return F.filter(F.concat(left_terms, right_terms), lambda t: (t["end"] < start) | (t["start"] > end))
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: _entity(s["kind"], s["value"])))
+
+
+def _terms(text: Column) -> Column:
+    """Different lower-case words of at least MIN_TERM letters that stand outside of email addresses, the one kind that holds letters."""
+    clear = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(clear, F.lit(WORD), 0), F.lower))
+
+
+def _places(text: Column) -> Column:
+    """The same words, each time they stand there, as structs (start, end, term)."""
+    gaps, found = F.split(text, PATTERNS["email"], -1), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), 0)
+    steps = F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.coalesce(F.char_length(m), F.lit(0)))
+    starts = running_starts(steps, F.transform(gaps, lambda g: F.lit(0)))
+    shifted = lambda g, s: F.transform(matches(g, WORD), lambda m: F.struct((m["start"] + s).alias("start"), (m["end"] + s).alias("end"), F.lower(m["value"]).alias("term")))
+    return F.flatten(F.zip_with(gaps, starts, shifted))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans, mentions) per row: base spans (kind, start, end, value), each mention's context words."""
+    """(doc_id, text_key, spans, held) per row: base spans (kind, start, end, value), and the text if it has any."""
     text = F.coalesce("text", F.lit(""))
 
     def named(kind: str) -> Column:
         return F.transform(F.col(kind), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
     rows = docs.select("doc_id", "text").withColumns({k: spans_of_kind(text, k) for k in KINDS}).withColumn("spans", F.concat(*map(named, KINDS)))
-
-    def outside(t: Column, spans: Column) -> Column:
-        return ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-
-    mention = lambda s: F.struct(_entity(s["kind"], s["value"]).alias("entity"), F.filter(_context(text, s["start"], s["end"]), lambda t: outside(t, F.col("spans"))).alias("terms"))
-    mentions = F.when(F.size("spans") > 0, F.transform("spans", mention)).otherwise(F.array().cast("array<struct<entity:string,terms:array<struct<term:string,start:int,end:int>>>>"))
-    return rows.select("doc_id", F.xxhash64(text).alias("text_key"), "spans", mentions.alias("mentions"))
-
-
-def disclosing_terms(found: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, disclosure, action): terms that reveal an entity, over all documents."""
-    contexts = found.select(F.explode("mentions").alias("m")).select("m.entity", F.array_sort(F.array_distinct(F.transform("m.terms", lambda t: t["term"]))).alias("terms")).distinct()
-    contexts = stored(contexts, "contexts")
-    pairs = contexts.select("entity", F.explode("terms").alias("term"))
-    often = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts)
-    #: Places of a word near an entity, once each, over all rows: what freq counts too.
-    places = F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term"), t["start"].alias("start"))))
-    near = found.where(F.size("mentions") > 0).select(F.explode(F.array_distinct(F.flatten(places))).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("joint"))
-    near = stored(near, "near-words")
-    joint = stored(near.join(often, ["entity", "term"]).select("entity", "term", "joint", F.xxhash64("term").alias("term_key")), "joint")
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.char_length("w") >= MIN_TERM)
-    freq = words.groupBy(F.xxhash64("w").alias("term_key")).agg(F.count(F.lit(1)).alias("freq"))
-    share = near.groupBy("entity").agg(F.sum("joint").alias("reach"))
-    total = docs.agg(F.sum(F.char_length("text")).alias("chars")).first()["chars"] or 1
-    #: Places for a word: about one to seven characters.
-    ic = -F.log2(F.least(F.lit(0.5), F.col("reach") / F.lit(max(total / 7, 1.0))))
-    known = joint.join(freq, "term_key").join(share, "entity")
-    known = known.withColumn("disclosure", 1 + F.log2(F.least(F.lit(1.0), F.col("joint") / F.col("freq"))) / ic)
-    return known.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+    return rows.select("doc_id", F.md5(text).alias("text_key"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("held"))
+
+
+def _unlike() -> Column:
+    """Whether the rows of a group are texts that differ in every sketch."""
+    out = F.lit(True)
+    for j in range(SKETCHES):
+        out = out & (F.min(f"sketch{j}") != F.max(f"sketch{j}"))
+    return out
+
+
+def protected_texts(found: DataFrame) -> DataFrame:
+    """(text_key, copies, spans, text): each different text that has base spans."""
+    some = found.where(F.size("spans") > 0)
+    return stored(some.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.any_value("spans").alias("spans"), F.any_value("held").alias("text")), "protected")
+
+
+def term_pairs(texts: DataFrame, docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """(text_key, entity, term, ...): words of a text that may, by the number of their documents, reveal an entity of it."""
+    n_docs = max(docs.count(), 2)
+
+    def sketch(j: int) -> Column:
+        return F.array_min(F.transform("terms", lambda t: F.xxhash64(F.lit(j), t)))
+
+    sketches = {f"sketch{j}": sketch(j) for j in range(SKETCHES)}
+    known = texts.select("text_key", "copies", _entities(F.col("spans")).alias("entities"), _terms(F.col("text")).alias("terms")).withColumns(sketches)
+    each = known.select(F.explode("entities").alias("entity"), "text_key", "copies", *sketches)
+    each = stored(each, "entity-texts")
+    whole = each.groupBy("entity").agg(F.sum("copies").alias("entity_docs"), _unlike().alias("unlike")).where("unlike").drop("unlike")
+    share = F.least(F.col("entity_docs") / F.lit(float(n_docs)), F.lit(0.5))
+    whole = stored(whole.withColumn("most", F.col("entity_docs") * F.pow(share, F.lit(generalise - 1.0))).withColumn("ic", -F.log2(share)), "entities")
+    held = stored(each.join(whole, "entity"), "held")
+    widest = held.agg(F.max("most").alias("m")).first()["m"] or 0.0
+    #: Documents of each word, but for those of one document and of too many.
+    words = docs.select(F.explode(_terms(F.col("text"))).alias("w")).groupBy(F.xxhash64("w").alias("term_key")).agg(F.count(F.lit(1)).alias("term_docs"))
+    words = stored(words.where(F.col("term_docs").between(2, widest)), "word-documents")
+    some = held.groupBy("text_key").agg(F.max("most").alias("text_most"))
+    own = known.join(some, "text_key").select("text_key", "text_most", F.explode("terms").alias("term")).withColumn("term_key", F.xxhash64("term"))
+    own = own.join(words, "term_key").where("term_docs <= text_most").select("text_key", "term", "term_docs")
+    return stored(own.join(held, "text_key").where("term_docs <= most"), "pairs")
+
+
+def disclosing_terms(pairs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_bits: float = MIN_BITS) -> DataFrame:
+    """(entity, term, disclosure, action): terms that reveal an entity, out of ``term_pairs``."""
+    known = pairs.groupBy("entity", "term").agg(
+        F.sum("copies").alias("joint"), F.count(F.lit(1)).alias("texts"), F.max("term_docs").alias("term_docs"), F.max("ic").alias("ic"), _unlike().alias("unlike")
+    ).where("unlike")
+    pmi = F.col("ic") + F.log2(F.least(F.lit(1.0), F.col("joint") / F.col("term_docs")))
+    known = known.withColumn("disclosure", pmi / F.col("ic")).where((F.col("texts") * pmi >= min_bits) & (F.col("disclosure") >= generalise))
+    return known.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+
+
+def term_spans(texts: DataFrame, pairs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(text_key, term_spans): where flagged terms stand in texts that hold the entity which they reveal."""
+    marks = pairs.select("text_key", "entity", "term").join(flagged.select("entity", "term", "action"), ["entity", "term"])
+    marks = stored(marks.groupBy("text_key", "term").agg(F.max("action").alias("action")), "marks")
+    at = texts.join(marks.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode(_places(F.col("text"))).alias("p")).select("text_key", "p.*")
+    at = at.join(marks, ["text_key", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("term_spans"))
+    return stored(at, "term-spans")
 
 
 def _span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def personal_data(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): counts by kind, base_sha256, spans, and term_spans (start, end, action).
+def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_bits: float = MIN_BITS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): counts by kind, base_sha256, spans, base_spans and term_spans (start, end, action).
 
     Spans are ``kind:start:end`` in code points, the end exclusive; base kinds come as in KINDS, then ``term``; each by
-    start.  Null and empty texts have none.  A term is marked only near a mention of the entity that it reveals, so
-    texts without base spans stay as they are.  Rows with equal id and text get equal results; null ids stay null.
+    start.  Null and empty texts have none.  A term is marked in texts that hold the entity which it reveals, wherever it
+    stands, so texts without base spans stay as they are.  Equal texts get equal spans, whatever their ids; null ids
+    stay null.  Other columns of ``docs`` aren't read.  Texts of any length are taken whole.
     """
     found = stored(base_spans(docs), "base-spans")
-    flagged = disclosing_terms(found, docs, min_contexts, generalise, remove)
-    near = found.where(F.size("mentions") > 0).select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.entity", F.explode("m.terms").alias("t"))
-    near = near.select("doc_id", "text_key", "entity", "t.term", F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    marked = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("action").alias("action"))
-    marked = marked.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("term_spans"))
-    out = found.join(marked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+    texts = protected_texts(found)
+    pairs = term_pairs(texts, docs, generalise)
+    marked = term_spans(texts, pairs, disclosing_terms(pairs, generalise, remove, min_bits))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    out = out.withColumn("term_spans", F.coalesce("term_spans", none))
+    some = found.where(F.size("spans") > 0).join(marked, "text_key", "left").select("doc_id", "text_key", "spans", F.coalesce("term_spans", none).alias("term_spans"))
+    out = some.unionAll(found.where(F.size("spans") == 0).select("doc_id", "text_key", "spans", none.alias("term_spans")))
     base = _span_text(F.col("spans"))
     terms = F.array_join(F.transform("term_spans", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -161,19 +201,21 @@ def personal_data(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise:
 
 
 def sanitised(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with personal data and removed terms cut out, base spans as [KIND] and generalised terms as [TERM].
+    """``docs`` with personal data and removed terms cut out, base spans as [KIND] and generalised terms as [TERM]; the columns of ``docs``.
 
-    Where spans of two kinds overlap, the earlier one (the longer, of two with one start) stands for both.
+    Where spans of two kinds overlap, the earlier one (the longer, of two with one start) stands for both.  Null and empty texts and
+    texts without spans stay as they are; other columns pass through, whatever their names.
     """
     found = personal_data(docs.select("doc_id", "text"), **how)
     base = F.transform("base_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
     terms = F.transform("term_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("by")))
-    cuts = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.array_sort(F.concat(base, terms)).alias("cuts")).dropDuplicates(["d", "k"])
-    rows = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__key") == F.col("k")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cuts = found.where(F.size("base_spans") > 0).select(F.col("text_key").alias("key"), F.array_sort(F.concat(base, terms)).alias("cuts")).dropDuplicates(["key"])
+    text = F.col("row.text")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.md5(F.coalesce(text, F.lit("")))).join(cuts, "key", "left")
+    #: Pieces are joined once, so a text of many spans isn't copied for each of them.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda acc, c: F.when(c["start"] < acc["at"], F.struct(F.greatest(acc["at"], -c["minus_end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-        F.struct((-c["minus_end"]).alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, c["start"] - acc["at"]), c["by"]).alias("out"))
+        F.struct((-c["minus_end"]).alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), c["by"])).alias("out"))
     )
-    clean = F.aggregate("cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    return rows.select(*(F.when(F.size("cuts") > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    clean = F.aggregate("cuts", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return rows.select(*(F.when(F.size("cuts") > 0, clean).otherwise(text).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
