@@ -1,9 +1,10 @@
 """Near-duplicate documents: ProbMinHash signatures, banding, exact verification, connected classes.
 
-A document's shingles are its runs of five white-space separated words (all its words, if fewer).  Links
-are defined on sets of shingles, so each distinct shingle weighs 1.  Each shingle is a Poisson process whose rate is its weight; an arrival
+A document's shingles are its runs of five white-space separated words (all its words, if fewer), with a weight: 1, or
+1 + ln of how often it occurs.  Each shingle is a Poisson process whose rate is its weight; an arrival
 goes to one of m registers, which keep the earliest arrival's shingle.  Two documents agree in a register with
-a probability equal to the probability Jaccard similarity of their weighted shingles, which is that of the sets at weight 1.  Registers fill up after
+a probability equal to the probability Jaccard similarity of their weighted shingles, and links are what reaches a threshold
+in that same measure, computed exactly.  At weight 1 it is the Jaccard similarity of the sets.  Registers fill up after
 about m ln m arrivals of all shingles together, and a shingle whose next arrival is later than every register's
 first stops there, so the work is one arrival a shingle and a constant.
 """
@@ -192,12 +193,16 @@ def _disagreements(x: Column, y: Column, words: int) -> Column:
     return sum(each[1:], each[0])
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int) -> Iterator[pa.RecordBatch]:
+def shingle_weights(times: np.ndarray, weighted: bool) -> np.ndarray:
+    return 1 + np.log(times) if weighted else np.ones(len(times))
+
+
+def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: int, weighted: bool) -> Iterator[pa.RecordBatch]:
     for batch, data, starts in text_chunks(batches):
         words, counts, _ = word_hashes(data, starts)
         sh, n = shingle_hashes(words, counts, width)
-        doc, shingle, _ = distinct_shingles(sh, n)
-        regs = prob_minhash(doc, shingle, np.ones(len(doc)), len(starts), bands * rows).reshape(-1, bands, rows)
+        doc, shingle, times = distinct_shingles(sh, n)
+        regs = prob_minhash(doc, shingle, shingle_weights(times, weighted), len(starts), bands * rows).reshape(-1, bands, rows)
         keys = np.zeros(regs.shape[:2], np.uint64)
         for r in range(rows):
             keys = mixed(keys * _U(31) + regs[:, :, r] + _U(r + 1))
@@ -212,25 +217,52 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width:
     pa.default_memory_pool().release_unused()
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int, weighted: bool) -> Iterator[pa.RecordBatch]:
     for batch, data, starts in text_chunks(batches):
         words, counts, _ = word_hashes(data, starts)
         sh, n = shingle_hashes(words, counts, width)
-        doc, shingle, _ = distinct_shingles(sh, n)
-        cut = np.searchsorted(doc, np.arange(len(starts) + 1))
-        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(shingle.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "shingles"])
+        doc, shingle, times = distinct_shingles(sh, n)
+        cut = pa.array(np.searchsorted(doc, np.arange(len(starts) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(shingle.view(np.int64)))]
+        if weighted:
+            lists.append(pa.ListArray.from_arrays(cut, pa.array(shingle_weights(times, True))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "shingles", "weights"][: 1 + len(lists)])
+
+
+def probability_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Sum over shared shingles d of 1 / sum over all shingles e of max(wx(e) / wx(d), wy(e) / wy(d)).
+
+    In the order of wx / wy, the greater term is that of x from d on and that of y before it, so running sums do.
+    """
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    a, b = wx[i], wy[j]
+    order = np.argsort(a / b, kind="stable")
+    a, b = a[order], b[order]
+    only_x, only_y = wx.sum() - a.sum(), wy.sum() - b.sum()
+    from_x = only_x + np.cumsum(a[::-1])[::-1]
+    before_y = only_y + np.cumsum(b) - b
+    return float((1 / (from_x / a + before_y / b)).sum())
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        left, right = b.column(2), b.column(3)
-        sims = np.zeros(b.num_rows)
-        for i in range(b.num_rows):
-            x, y = left[i].values.to_numpy(zero_copy_only=False), right[i].values.to_numpy(zero_copy_only=False)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            sims[i] = both / (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims)], names=["a", "b", "similarity"])
+        x, wx, y, wy = (b.column(i) for i in range(2, 6))
+        at = lambda c, i: c[i].values.to_numpy(zero_copy_only=False)
+        sims = [probability_jaccard(at(x, i), at(wx, i), at(y, i), at(wy, i)) for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+
+
+def _similarities(pairs: DataFrame, shingles: DataFrame, weighted: bool) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b)."""
+    fields = [c for c in shingles.columns if c != "doc_id"]
+    side = lambda k: shingles.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in fields))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if weighted:
+        return both.select("a", "b", "a_shingles", "a_weights", "b_shingles", "b_weights").mapInArrow(_similar, "a long, b long, similarity double")
+    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    return both.select("a", "b", (shared / (F.size("a_shingles") + F.size("b_shingles") - shared)).alias("similarity"))
 
 
 def spread_labels(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,11 +286,11 @@ def spread_labels(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     return stored(out.select("id", F.coalesce("to", "label").alias("label")), "labels"), to.select("x", "to")
 
 
-def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of its class), n_links, n_copies.
 
-    Documents are linked if the Jaccard similarity of their shingle sets is at least ``threshold``; classes are what
-    links connect.  Equal texts share a class and stand for one text: n_copies counts them, n_links counts verified
+    Documents are linked if the probability Jaccard of their shingles, of weight 1 or, if ``weighted``, 1 + ln(count), is at least
+    ``threshold``; classes are what links connect.  Equal texts share a class and stand for one text: n_copies counts them, n_links counts verified
     links of the text to different texts.  Null and empty texts, and null ids, are classes of their own (class_id = doc_id).
     Rows that repeat an id are copies of each other if their texts agree.
 
@@ -272,7 +304,7 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     """
     #: 128 bits of the text: of equal texts only the smallest id goes on.
     slim = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
-    sig = stored(slim.mapInArrow(lambda it: _band_rows(it, bands, rows, width), "doc_id long, text_key string, bands array<long>, sketch array<long>, prints array<long>"), "bands")
+    sig = stored(slim.mapInArrow(lambda it: _band_rows(it, bands, rows, width, weighted), "doc_id long, text_key string, bands array<long>, sketch array<long>, prints array<long>"), "bands")
     texts = sig.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
     reps = stored(texts.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies")), "reps")
     of_rep = stored(texts.join(reps, "text_key").where("doc_id = id").dropDuplicates(["id"]).select("id", "bands", "sketch", "prints"), "signatures")
@@ -281,14 +313,16 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
     members = stored(every.join(crowded, "bucket").join(of_rep.drop("bands"), "id").select("id", "bucket", "band", "sketch", "prints", F.lit(None).cast("double").alias("pivot"), F.col("id").alias("label")), "buckets")
     nodes = stored(members.select("id").distinct(), "nodes")
     shingles = docs.select("doc_id", "text").join(nodes.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    shingles = stored(shingles.mapInArrow(lambda it: _shingle_rows(it, width), "doc_id long, shingles array<long>"), "shingles")
+    shingles = stored(shingles.mapInArrow(lambda it: _shingle_rows(it, width, weighted), "doc_id long, shingles array<long>" + ", weights array<double>" * weighted), "shingles")
     tried, links, labels = None, None, stored(nodes.select("id", F.col("id").alias("label")), "labels")
     registers, p = bands * rows, threshold + (1 - threshold) / 4
     most = math.ceil(registers * (1 - p + DOUBT * math.sqrt(p * (1 - p) / registers)))
     for round_no in count():
         mixed_up = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("lo != hi")
         central = (F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id", F.lit(round_no)), F.col("n")) < min(MORE_CENTRES**round_no, 1 << 40) - 1)
-        open_ = stored(members.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "band", "sketch", "prints", "pivot", "label", "least", central.alias("central")), "open")
+        open_ = members.join(mixed_up.select("bucket", "least", "n"), "bucket").select("id", "bucket", "band", "sketch", "prints", "pivot", "label", "least", central.alias("central"))
+        #: From the second round on a bucket has many centres, so its members are dealt out again.
+        open_ = stored(open_.repartition("id", "bucket") if round_no else open_, "open")
         if open_.isEmpty():
             break
         centres = open_.where("central").select(F.col("bucket").alias("of"), F.col("id").alias("centre"), F.col("label").alias("centre_label"), F.col("sketch").alias("centre_sketch"), F.col("pivot").alias("centre_pivot"), F.col("prints").alias("centre_prints"))
@@ -301,8 +335,7 @@ def duplicate_classes(docs: DataFrame, width: int = WIDTH, threshold: float = TH
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        both = pairs.join(shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        told = stored(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, similarity double"), "similarities")
+        told = stored(_similarities(pairs, shingles, weighted), "similarities")
         new = told.where(F.col("similarity") >= threshold).select("a", "b")
         tried = pairs if tried is None else tried.unionAll(pairs)
         members = open_.where("not central").select("id", "bucket", "band", "sketch", "prints", "pivot", "label", "least")
