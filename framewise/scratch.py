@@ -1,19 +1,41 @@
-"""Folders that driver and executors share."""
+"""Folders that driver and executors share, and tables written to them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or, where that is unset, under one of our own."""
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset and executors are threads of the driver, a folder of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if not given and app not in _OWN:
+    if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="framewise-")
-    return f"{(given or _OWN[app]).rstrip('/')}/framewise/{tag}-{uuid.uuid4().hex}"
+    return _OWN[app]
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder of this application."""
+    return f"{shared_dir(spark)}/framewise/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends there, and no executor's loss undoes it."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has stored; call it once the results that were read from there are written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/framewise/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
