@@ -67,13 +67,15 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         inside = sizes.withColumn("up", F.shiftright("h", shift + LEVEL_BITS)).join(
             state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.col("up") == F.col("prefix"))
         )
-        sums = inside.groupBy("source", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("sum"))
+        sums = inside.groupBy("source", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("sum"), F.min("h").alias("low"), F.max("h").alias("high"))
         running = F.sum("sum").over(W.partitionBy("source").orderBy("bucket"))
         after = sums.withColumn("run", running.cast("double")).where(F.col("run") > F.col("left"))
-        state = after.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("left") - F.col("run") + F.col("sum")).alias("left"), "sum"), "bucket").alias("b"))
-        state = stored(state.select("source", F.col("b.left").alias("left"), F.col("b.bucket").alias("prefix"), F.col("b.sum").alias("sum")), f"mix-level{level}")
-    #: At the last level the boundary bucket is a single hash value.
-    edge = state.select(F.col("source").alias("s"), F.when(F.col("left") * 2 >= F.col("sum"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("edge"))
+        state = after.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("left") - F.col("run") + F.col("sum")).alias("left"), "sum", "low", "high"), "bucket").alias("b"))
+        state = stored(state.select("source", F.col("b.left").alias("left"), F.col("b.bucket").alias("prefix"), F.col("b.sum").alias("sum"), F.col("b.low").alias("low"), F.col("b.high").alias("high")), f"mix-level{level}")
+        #: Once the boundary bucket of every source holds one hash value, further levels tell nothing new; at the last it does.
+        if state.where("low != high").isEmpty():
+            break
+    edge = state.select(F.col("source").alias("s"), F.when(F.col("left") * 2 >= F.col("sum"), F.col("low")).otherwise(F.col("low") - 1).alias("edge"))
     whole = (1 << HASH_BITS) - 1
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     return plan.withColumn("threshold", F.coalesce("edge", F.when(F.col("budget") > 0, F.lit(whole)).otherwise(F.lit(-1)))).drop("edge", "budget")
@@ -87,19 +89,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     of ``docs`` pass through if named in ``keep``; an empty table gives an empty one.
     """
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"), *(F.col(c) for c in keep or ()))
-    small = stored(sizes.select("source", "size", "h"), "mix-sizes")
+    small = stored(sizes.select("doc_id", "source", "size", "h"), "mix-sizes")
     plan = stored(thresholds(small, source_targets(small, weights, max_epochs)), "mix-plan").withColumnRenamed("source", "s")
-    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    out = (sizes if keep else small).join(plan, F.col("source").eqNullSafe(F.col("s")))
     out = out.withColumn("copies", F.col("epochs") + (F.col("h") <= F.col("threshold")).cast("long"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop("s", "h", "epochs", "threshold")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mixture itself: the columns of ``docs``, each row as often as the mix takes it (size-0 rows not at all)."""
-    names = docs.columns
-    out = mix(docs, weights, max_epochs, keep=[c for c in names if c not in ("doc_id", "source")])
-    out = out.where((F.col("copies") > 0) & (F.col("size") > 0)).withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(*names)
+    """The mixture itself: the columns of ``docs``, each row as often as the mix takes it (size-0 rows not at all).
+
+    (doc_id, text, source) are read; the others pass through, whatever their names.  Null and empty texts have size 0; a null source is a
+    source of its own; rows with one id share its lot; an empty table gives an empty one.
+    """
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row"))
+    out = mix(whole, weights, max_epochs, keep=["whole_row"])
+    out = out.where((F.col("copies") > 0) & (F.col("size") > 0)).select("whole_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*(F.col("whole_row").getField(c).alias(c) for c in docs.columns))
 
 
 _HEX = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT"

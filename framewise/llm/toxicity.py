@@ -13,6 +13,7 @@ different predecessors rather than documents keeps copies of one document from m
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -31,7 +32,7 @@ TARGET = "you your yours yourself they he she du dich dir dein ihr euch tu toi t
 NEGATION = "not no never neither nor without nicht kein keine nie niemals ohne pas jamais sans ni aucun nunca jamás sin ningún tampoco".split()
 REPORTED = "said says say wrote quoted quote called reported alleged sagte sagt schrieb zitierte nannte dit disait écrit cité appelé dijo dice escribió citó llamó".split()
 NEGATION_REACH, NEGATED, REPORTED_PART, TARGETED, THREAT_WEIGHT = 3, 0.2, 0.3, 1.5, 1.0
-CLAUSE_ENDS = ".!?;\n"
+CLAUSE_END = re.compile(r"[.!?;\n]")
 
 #: Bounds of what is fitted, and what makes a terminal.
 FIT_ROWS, MAX_TERMINALS = 20_000, 5_000
@@ -111,13 +112,15 @@ class Scorer:
         done, found = -1, []
         if not len(self.find):
             return found
+        ends, at = [-1, *(m.start() for m in CLAUSE_END.finditer(text)), len(text)], 0
         for end, n in self.find.iter(text):
             start = end - n + 1
             if start <= done or (start and text[start - 1].isalpha()):
                 continue
-            left = max(text.rfind(x, 0, start) for x in CLAUSE_ENDS) + 1
-            done = min((i for i in (text.find(x, end) for x in CLAUSE_ENDS) if i >= 0), default=len(text))
-            words = "".join(x if x.isalpha() else " " for x in text[left:done]).split()
+            while ends[at + 1] <= end:
+                at += 1
+            done = ends[at + 1]
+            words = "".join(x if x.isalpha() else " " for x in text[ends[at] + 1 : done]).split()
             if score := self.clause(words):
                 found.append(score)
         return found
@@ -214,10 +217,13 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, limit:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, limit: float = LIMIT) -> DataFrame:
-    """The rows of ``docs`` whose score stays under ``limit``; the columns of ``docs``, of which (doc_id, text) are read."""
+    """The rows of ``docs`` whose score stays under ``limit``; the columns of ``docs``, of which (doc_id, text) are read.
+
+    Null and empty texts hold no clause and stay; rows that repeat a text share its fate; null ids stay or go by their text.  Other columns
+    pass through, whatever their names; an empty table gives an empty one.
+    """
     found, curve = fit(docs, labels, fit_rows)
-    docs_columns = docs.columns
-    tag = "__score"
+    names, tag = docs.columns, "_".join(["score", *docs.columns])
     schema = T.StructType([*docs.schema.fields, T.StructField(tag, T.DoubleType())])
-    out = docs.mapInArrow(lambda it: _score_rows(it, found, curve, docs_columns, tag), schema)
-    return out.where(F.col(tag) < limit).select(*docs_columns)
+    out = docs.mapInArrow(lambda it: _score_rows(it, found, curve, names, tag), schema)
+    return out.where(F.col(tag) < limit).drop(tag)

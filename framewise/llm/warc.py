@@ -31,7 +31,7 @@ from .common import fresh_path, stored
 V1_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
 V2_FIELDS = ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"]
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122: names that are URLs
-ARC_BYTES, WARC_BYTES = 4 << 20, 32 << 20
+ARC_BYTES, WARC_BYTES, READ_BYTES = 4 << 20, 32 << 20, 1 << 16
 ARCHIVE_DATE = "20240101000000"
 
 
@@ -138,11 +138,17 @@ def warc_member(fields: dict[str, str], block: bytes) -> bytes:
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of a gzip archive of one member per record."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
+    """(header fields, block) of each record of a gzip archive of one member per record, each byte unpacked once."""
+    at, view = 0, memoryview(data)
+    while at < len(view):
+        member, out = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends inside a record")
+            out.append(member.decompress(view[at : at + READ_BYTES]))
+            at = min(at + READ_BYTES, len(view))
+        at -= len(member.unused_data)
+        raw = b"".join(out)
         cut = raw.index(b"\r\n\r\n")
         version, *lines = raw[:cut].decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -257,9 +263,14 @@ def archived_pages(pages: DataFrame, revisit_min_bytes: int = 0) -> DataFrame:
     """
     paths, folder = written_archives(pages, revisit_min_bytes)
     got = stored(paths.repartition(max(1, min(paths.count(), 4096))).mapInArrow(lambda it: _read(it, folder), READ), "warc-records")
-    holds = got.where("record_type = 'response' and page_id is not null").groupBy("record_id").agg(F.max("page_id").alias("held_by"), F.max("payload_bytes").alias("held_bytes"))
-    out = got.join(holds.withColumnRenamed("record_id", "refers"), "refers", "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "held_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("held_by")).alias("refers_to"), "url", "warc_date")
+    kept = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "warc_date"]
+    holds = got.where("record_type = 'response' and page_id is not null").select("record_id", "page_id", "payload_bytes")
+    holds = holds.groupBy(F.col("record_id").alias("refers")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("held_bytes"))
+    #: Only revisits look for what they refer to; stored, so that Spark splits the revisits of a common payload among tasks.
+    revisits = got.where("record_type = 'revisit'")
+    holds = stored(holds.join(revisits.select("refers").distinct(), "refers", "left_semi"), "held-payloads")
+    revisits = revisits.join(holds, "refers", "left").withColumn("payload_bytes", F.col("held_bytes")).select(kept)
+    return got.where("record_type != 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).select(kept).unionAll(revisits)
 
 
 SQL = """
