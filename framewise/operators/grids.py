@@ -71,17 +71,20 @@ def weighted_similarity(pairs: DataFrame, a: str, b: str, w: str, *by: str) -> D
     return s.select(*by, "bins", pearson.alias("pearson"), cosine.alias("cosine"), (F.col("w") * F.col("w") / F.col("ww")).alias("effective_n"))
 
 
-def circular_shift_null(df: DataFrame, flag: str, shifts: int, *by: str) -> DataFrame:
-    """df with ``shift`` 0 (as it is) to ``shifts``, the flag taken from as many frames farther on, around the cell's end.
+def circular_shift_rates(df: DataFrame, flag: str, shifts: int, hz: float, key: str, *bins: str) -> DataFrame:
+    """(key, bins, shift, occ, n, rate): rate maps of the flag as it is (shift 0) and moved by ``shifts`` steps around the cell's end.
 
-    Every shift is a copy of the frames, dealt by cell and shift, so that a cell's copies don't meet in one task.
+    Steps are spread evenly over 1 to frames - 1.  Where the cell was doesn't depend on the shift, so occupancy is summed once and
+    only frames with the flag are moved, to the bins of the frames that they land on.
     """
-    n = F.count(F.lit(1)).over(W.partitionBy(*by))
-    sized = df.withColumn("__n", n).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts))))
-    step = F.when(F.col("shift") == 0, F.lit(0)).otherwise(1 + (F.col("shift") * 7 - 1) % (F.col("__n") - 1))
-    placed = sized.where("__n > 1").withColumn("__to", F.pmod(F.col("frame") - step, F.col("__n")))
-    flags = placed.select(*by, "shift", F.col("__to").alias("frame"), F.col(flag).alias("__flag"))
-    return placed.drop(flag, "__to", "__n").join(flags, [*by, "shift", "frame"]).withColumnRenamed("__flag", flag)
+    sized = df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(key))).where("__n > 1")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shifts)))
+    step = F.when(F.col("shift") == 0, 0).otherwise(1 + F.floor((2 * F.col("shift") - 1) * (F.col("__n") - 1) / (2 * shifts)))
+    moved = sized.where(F.col(flag)).select(key, "frame", "__n", every.alias("shift")).select(key, "shift", F.pmod(F.col("frame") - step, F.col("__n")).alias("frame"))
+    hits = moved.join(sized.select(key, "frame", *bins), [key, "frame"]).groupBy(key, "shift", *bins).agg(F.count(F.lit(1)).alias("n"))
+    occ = sized.groupBy(key, *bins).agg((F.count(F.lit(1)) / hz).alias("occ")).withColumn("shift", every)
+    out = occ.join(hits, [key, "shift", *bins], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return out.withColumn("rate", F.col("n") / F.col("occ"))
 
 
 def shuffle_p(scores: DataFrame, value: str, *by: str) -> DataFrame:

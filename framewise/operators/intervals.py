@@ -54,6 +54,16 @@ def count_inside(points: DataFrame, intervals: DataFrame, ident: str) -> DataFra
     return intervals.join(got, [KEY, ident], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def burst_events(bursts: DataFrame, complex_spikes: DataFrame | None, ident: str = "burst", frames: int | None = None) -> DataFrame:
+    """(cell, frame): the first complex spike of each burst; where there is no list of complex spikes at all, the bursts' own ``loc``.
+
+    A list that is there but holds nothing for a burst gives it no event.  Each frame counts once; frames outside of [0, frames) go.
+    """
+    at = bursts.select(KEY, F.col("loc").alias(FRAME)) if complex_spikes is None else count_inside(complex_spikes, bursts, ident).select(KEY, F.col("first").alias(FRAME)).where(F.col(FRAME).isNotNull())
+    inside = F.col(FRAME) >= 0 if frames is None else F.col(FRAME).between(0, frames - 1)
+    return at.where(inside).distinct()
+
+
 def long_runs(df: DataFrame, flag: str, least: int) -> DataFrame:
     return runs(df, flag).where(F.col("hi") - F.col("lo") + 1 >= least)
 

@@ -35,7 +35,8 @@ def anchors(c: str, frame: str = FRAME) -> tuple[Column, Column]:
     """The nearest valid (frame, value) at or before a row and at or after it."""
     point = F.when(F.col(c).isNotNull(), F.struct(F.col(frame).alias("f"), F.col(c).alias("v")))
     before = F.last(point, ignorenulls=True).over(by_cell().rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(by_cell().rowsBetween(0, W.unboundedFollowing))
+    #: Backwards, as a frame that only grows is summed up once; one that shrinks is gone through again for each row.
+    after = F.last(point, ignorenulls=True).over(W.partitionBy(KEY).orderBy(F.desc(frame)).rowsBetween(W.unboundedPreceding, 0))
     return before, after
 
 
@@ -115,6 +116,17 @@ def local_peaks(df: DataFrame, c: str, height: float) -> DataFrame:
     return df.withColumns({"__p": before, "__n": after}).where((F.col(c) > height) & (F.col(c) > F.col("__p")) & (F.col(c) >= F.col("__n"))).drop("__p", "__n")
 
 
+def plateau_peaks(df: DataFrame, c: str, height: float) -> DataFrame:
+    """(cell, frame, c): maxima of at least ``height`` with lower values on both sides; of equal values in a row the middle frame (the earlier of two)."""
+    v = F.col(c)
+    new = F.when(v.eqNullSafe(F.lag(c).over(by_cell())), 0).otherwise(1)
+    run = df.select(KEY, FRAME, c, new.alias("__new")).withColumn("__run", F.sum("__new").over(by_cell().rowsBetween(W.unboundedPreceding, 0)))
+    run = run.groupBy(KEY, "__run").agg(F.min(FRAME).alias("__lo"), F.max(FRAME).alias("__hi"), F.first(c).alias(c))
+    w = W.partitionBy(KEY).orderBy("__run")
+    run = run.withColumns({"__before": F.lag(c).over(w), "__after": F.lead(c).over(w)})
+    return run.where((v >= height) & (v > F.col("__before")) & (v > F.col("__after"))).select(KEY, F.floor((F.col("__lo") + F.col("__hi")) / 2).cast("long").alias(FRAME), c)
+
+
 def edges(df: DataFrame, c: str, level: float) -> DataFrame:
     """Rows where the value passes the level: edge is ``rising`` or ``falling``."""
     before = F.lag(c).over(by_cell())

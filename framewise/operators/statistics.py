@@ -163,7 +163,7 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
     w = W.partitionBy(*by).orderBy(p)
     m = F.count(p).over(W.partitionBy(*by))
     stepped = df.where(f"{p} is not null").withColumn("__s", F.least(F.lit(1.0), m * F.col(p) / F.row_number().over(w)))
-    return stepped.withColumn(out, F.min("__s").over(w.rowsBetween(0, W.unboundedFollowing))).drop("__s")
+    return stepped.withColumn(out, F.min("__s").over(W.partitionBy(*by).orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, W.currentRow))).drop("__s")
 
 
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:

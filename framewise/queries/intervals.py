@@ -114,11 +114,16 @@ def j8_spikes_in_windows(spark: SparkSession, d: str) -> DataFrame:
     return I.count_inside(spikes(fr), bursts(fr), "burst").select("cell", "burst", "n", "first")
 
 
-@query(with_tables("bu sp", "SELECT DISTINCT cell, coalesce(first, loc) AS frame FROM ci", INSIDE.replace("sp ON", "(SELECT * FROM sp WHERE kind = 'cs') sp ON")))
+@query(with_tables("bu sp", "SELECT DISTINCT cell, first AS frame FROM ci WHERE first IS NOT NULL", INSIDE.replace("sp ON", "(SELECT * FROM sp WHERE kind = 'cs') sp ON")))
 def j9_first_complex_spike(spark: SparkSession, d: str) -> DataFrame:
     fr = frames(spark, d)
-    c = I.count_inside(spikes(fr).where("kind = 'cs'"), bursts(fr), "burst")
-    return c.select("cell", F.coalesce("first", "loc").alias("frame")).distinct()
+    return I.burst_events(bursts(fr), spikes(fr).where("kind = 'cs'"))
+
+
+@query(with_tables("bu", "SELECT DISTINCT cell, loc AS frame FROM bu"))
+def j9_burst_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Where no list of complex spikes was made."""
+    return I.burst_events(bursts(frames(spark, d)), None)
 
 
 @query(with_tables("bu sp", "SELECT cell, burst, CASE WHEN n > 1 THEN 'burst' WHEN n = 1 THEN 'simple' ELSE 'dropped' END AS kept_as FROM ci", INSIDE))

@@ -154,7 +154,7 @@ def m12_map_rank_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 SHIFTED = """nn AS (SELECT *, count(*) OVER (PARTITION BY cell) AS nf FROM fb),
 sh AS (SELECT a.cell, s.shift, a.ix // 4 AS ix, a.iy // 4 AS iy, b.kind FROM nn a CROSS JOIN (SELECT unnest(range(0, 21)) AS shift) s
-  JOIN nn b ON b.cell = a.cell AND b.frame = (a.frame + CASE WHEN s.shift = 0 THEN 0 ELSE 1 + (s.shift * 7 - 1) % (a.nf - 1) END) % a.nf WHERE a.nf > 1),
+  JOIN nn b ON b.cell = a.cell AND b.frame = (a.frame + CASE WHEN s.shift = 0 THEN 0 ELSE 1 + CAST(floor((2 * s.shift - 1) * (a.nf - 1) / 40.0) AS BIGINT) END) % a.nf WHERE a.nf > 1),
 rs AS (SELECT cell, shift, ix, iy, count(*) / 10.0 AS occ, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) AS n FROM sh GROUP BY ALL),
 ps AS (SELECT *, n / occ AS rate, occ / sum(occ) OVER (PARTITION BY cell, shift) AS p FROM rs),
 ms AS (SELECT *, sum(p * rate) OVER (PARTITION BY cell, shift) AS mean FROM ps),
@@ -165,7 +165,7 @@ ns AS (SELECT cell, shift, round(sum(CASE WHEN mean > 0 THEN rate * log2(rate /
 def m2_shuffle_information(spark: SparkSession, d: str) -> DataFrame:
     """Twenty circular shifts of the spikes against the path, and how many of them hold as much information."""
     b = _coarse(spark, d).select("cell", "frame", "ix", "iy", is_error().alias("hit"))
-    rates = G.rate_map(G.circular_shift_null(b, "hit", 20, "cell"), F.col("hit"), 10.0, "cell", "shift", "ix", "iy")
+    rates = G.circular_shift_rates(b, "hit", 20, 10.0, "cell", "ix", "iy")
     info = returned(G.spatial_information(rates, "cell", "shift"))
     return returned(G.shuffle_p(info, "info", "cell"))
 

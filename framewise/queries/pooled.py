@@ -280,10 +280,10 @@ al AS (SELECT f.cell, f.frame, f.ms, (SELECT max(b.ms) FROM be b WHERE b.cell =
 
 @query(with_tables("fr", f"SELECT al.cell, al.frame, {r('CASE WHEN b0 IS NULL THEN q.x WHEN b1 IS NULL OR b0 = b1 THEN p.x ELSE p.x + (q.x - p.x) * (al.ms - b0) / (b1 - b0) END', 'x')} FROM al LEFT JOIN be p ON p.cell = al.cell AND p.ms = b0 LEFT JOIN be q ON q.cell = al.cell AND q.ms = b1", ASOF))
 def j10_aligned_position(spark: SparkSession, d: str) -> DataFrame:
-    """Positions known at some times only, as of every frame: one sort by cell and time finds both neighbours."""
-    w = W.partitionBy("cell").orderBy("ms")
+    """Positions known at some times only, as of every frame: a sort by cell and time, and one backwards, find both neighbours."""
+    w, back = (W.partitionBy("cell").orderBy(t).rowsBetween(W.unboundedPreceding, 0) for t in ("ms", F.desc("ms")))
     known = F.when(F.col("event_id") % 3 == 0, F.struct("ms", "x"))
-    fr = frames(spark, d).withColumns({"b": F.last(known, True).over(w.rowsBetween(W.unboundedPreceding, 0)), "a": F.first(known, True).over(w.rowsBetween(0, W.unboundedFollowing))})
+    fr = frames(spark, d).withColumns({"b": F.last(known, True).over(w), "a": F.last(known, True).over(back)})
     line = F.col("b.x") + (F.col("a.x") - F.col("b.x")) * (F.col("ms") - F.col("b.ms")) / (F.col("a.ms") - F.col("b.ms"))
     x = F.when(F.col("b").isNull(), F.col("a.x")).when(F.col("a").isNull() | (F.col("a.ms") == F.col("b.ms")), F.col("b.x")).otherwise(line)
     return returned(fr.withColumn("x", x), "cell", "frame", "x")

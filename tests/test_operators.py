@@ -60,7 +60,7 @@ def test_distributions(got, want):
 def test_butterworth_keeps_fast_and_drops_slow(spark):
     t = np.arange(4000)
     slow, fast = np.sin(2 * np.pi * t / 1000), np.sin(2 * np.pi * t / 8)
-    out = signals.butterworth(cell(spark, (slow + fast).tolist()), "v", "f", 0.02, block=1000, halo=500).orderBy("frame").toPandas()
+    out = signals.butterworth(cell(spark, (slow + fast).tolist()), "v", "f", 0.02, block=1000).orderBy("frame").toPandas()
     assert len(out) == 4000
     assert np.abs(out.f.to_numpy() - fast)[200:-200].max() < 0.02
 
