@@ -9,7 +9,7 @@ from framewise.binding import binned, bursts, frames, maps, returned, spikes
 from framewise.functions.scalar import bin_index, circular_distance
 from framewise.operators import grids as G
 from framewise.operators import intervals as I
-from framewise.queries.registry import query, r, with_tables
+from framewise.queries.registry import connected, query, r, with_tables
 
 
 def is_error() -> Column:
@@ -170,17 +170,21 @@ def m2_shuffle_information(spark: SparkSession, d: str) -> DataFrame:
     return returned(G.shuffle_p(info, "info", "cell"))
 
 
-@query()
+@query(connected("SELECT map_id, ix, iy, component FROM cp"))
 def i10_components(spark: SparkSession, d: str) -> DataFrame:
     return G.components(maps(spark, d).withColumn("on", F.col("value") > 0), "on", "map_id")
 
 
-@query()
+@query(connected("SELECT map_id, ix, iy, component FROM cp", diagonal=True))
 def i11_components_diagonal(spark: SparkSession, d: str) -> DataFrame:
     return G.components(maps(spark, d).withColumn("on", F.col("value") > 0), "on", "map_id", diagonal=True)
 
 
-@query()
+RANKED = """SELECT map_id, component, round(peak, 6) + 0.0 AS peak, area, row_number() OVER (PARTITION BY map_id ORDER BY CASE WHEN top = 1 THEN 0 ELSE 1 END, area DESC, peak DESC, component) AS place
+FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY peak DESC, area DESC, component) AS top FROM (SELECT map_id, component, max(value) AS peak, count(*) AS area FROM cp JOIN mp USING (map_id, ix, iy) GROUP BY ALL))"""
+
+
+@query(connected(RANKED))
 def i14_ranked_components(spark: SparkSession, d: str) -> DataFrame:
     m = maps(spark, d)
     parts = G.components(m.withColumn("on", F.col("value") > 0), "on", "map_id").join(m, ["map_id", "ix", "iy"])

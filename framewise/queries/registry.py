@@ -41,3 +41,17 @@ def query(sql: str | None = None):
         return f
 
     return enter
+
+
+#: Bins over 0 of the maps, the bins that each can reach, and their components, numbered in row order.
+CONNECTED = """RECURSIVE {tables},
+on_ AS (SELECT map_id, ix, iy, ix * 8 + iy AS k FROM mp WHERE value > 0),
+re(map_id, k, ix, iy, root) AS (SELECT map_id, k, ix, iy, k FROM on_ UNION SELECT n.map_id, n.k, n.ix, n.iy, re.root FROM re JOIN on_ n ON n.map_id = re.map_id AND {near}),
+cp AS (SELECT map_id, ix, iy, dense_rank() OVER (PARTITION BY map_id ORDER BY root) AS component FROM (SELECT map_id, ix, iy, min(root) AS root FROM re GROUP BY ALL)),
+ca AS (SELECT map_id, component, count(*) AS area FROM cp GROUP BY ALL)"""
+
+
+def connected(body: str, diagonal: bool = False) -> str:
+    near = "abs(n.ix - re.ix) <= 1 AND abs(n.iy - re.iy) <= 1" if diagonal else "abs(n.ix - re.ix) + abs(n.iy - re.iy) = 1"
+    tables = with_tables("mp", "").removeprefix("WITH ").rstrip()
+    return "WITH " + CONNECTED.format(tables=tables, near=near) + "\n" + body
