@@ -132,3 +132,14 @@ def test_ties_and_thresholds_of_the_mix(spark):
     got = mixing.mix(docs).collect()
     assert len(got) == 5 and len({r.copies for r in got if r.doc_id == 1}) == 1
     assert all(r.taken <= 3 * r.size for r in got) and {r.target for r in got if r.source == "y"} == {0.0}
+
+
+def test_places_that_cannot_hold_a_passage():
+    reach = substring.MIN_WORDS + substring.MAX_GAP
+    a = np.arange(1000, 1000 + 2 * reach + substring.WIDTH, dtype=np.int32)
+    edited = {p: a.copy() for p in ((60,), (40, 60), (20, 35, 50, 60, 75), tuple(range(8, 110, 9)))}
+    for places, b in edited.items():
+        b[list(places)] = 7
+    longer = np.concatenate((a[1:70], [7], a[70:]))
+    rows = [a, *edited.values(), longer, np.full(len(a), 3, np.int32)]
+    assert substring.may_hold(np.stack([a] * len(rows)), np.stack(rows), 50, 0.8).tolist() == [True, True, True, False, False, True, False]
