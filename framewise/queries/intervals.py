@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.binding import bursts, frames, returned, spikes
+from framewise.binding import bursts, frames, returned, spikes, table
 from framewise.operators import intervals as I
 from framewise.operators import sequence as S
 from framewise.queries.registry import CELL, query, r, with_tables
 from framewise.queries.sequence import ANCHORS, SPEED
+from framewise.sources.recordings import job_results, split_by_sessions
 
 
 def runs_sql(source: str, flag: str, name: str = "ru") -> str:
@@ -196,3 +197,15 @@ def s22_session_merge(spark: SparkSession, d: str) -> DataFrame:
     n = fr.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     off = n.select("cell", F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("off"))
     return spikes(fr).join(off, "cell").select("cell", (F.col("frame") + F.col("off")).alias("frame"), "kind")
+
+
+@query(with_tables("sp", "SELECT sp.cell, session, frame - lo AS frame, kind FROM sp JOIN sr ON sr.cell = sp.cell AND frame >= lo AND frame < hi", RANGES))
+def s8_split_by_sessions(spark: SparkSession, d: str) -> DataFrame:
+    fr = frames(spark, d)
+    return split_by_sessions(spikes(fr).select("cell", "frame", "kind"), I.session_ranges(fr)).select("cell", "session", "frame", "kind")
+
+
+@query("SELECT c_custkey, coalesce(status, 'missing') AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS status FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def s12_job_results(spark: SparkSession, d: str) -> DataFrame:
+    results = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderstatus").alias("status"))
+    return job_results(table(spark, d, "customer").select("c_custkey"), results, "c_custkey").select("c_custkey", "status")

@@ -480,6 +480,21 @@ def g27_valid_view(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).groupBy("session").agg(far("x", 17.75).alias("margin_x"), far("y", 10.0).alias("margin_y"))
 
 
+@query()
+def m15_paired_decision(spark: SparkSession, d: str) -> DataFrame:
+    return returned(T.paired_test(frames(spark, d).withColumn("d", F.col("v") - 245), "d", "cell"))
+
+
+@query()
+def m16_unpaired_decision(spark: SparkSession, d: str) -> DataFrame:
+    return returned(T.unpaired_test(frames(spark, d).withColumn("side", F.col("session") == 1), "v", "side", "cell"))
+
+
+@query()
+def m18_omnibus_decision(spark: SparkSession, d: str) -> DataFrame:
+    return returned(T.omnibus_test(frames(spark, d), "v", "kind", "cell"))
+
+
 @query()
 def g1_butterworth_highpass(spark: SparkSession, d: str) -> DataFrame:
     return returned(G.butterworth(frames(spark, d), "vn", "filtered", 0.05))
