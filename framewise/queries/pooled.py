@@ -12,6 +12,7 @@ from framewise.operators import intervals as I
 from framewise.operators import sequence as S
 from framewise.operators import signals as G
 from framewise.operators import statistics as T
+from framewise.operators import traces as R
 from framewise.plans.trace_view import trace_view
 from framewise.queries.maps import is_error
 from framewise.queries.registry import CELL, query, r, with_tables
@@ -37,14 +38,12 @@ def entry_windowed_trace_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("fr", f"SELECT cell, frame, {r('(vn - avg(vn) OVER c) / CASE WHEN stddev_pop(vn) OVER c > 0 THEN stddev_pop(vn) OVER c ELSE 1 END', 'z')} FROM fr WINDOW c AS (PARTITION BY cell)"))
 def a1_z_score(spark: SparkSession, d: str) -> DataFrame:
-    sd = F.stddev_pop("vn").over(W.partitionBy("cell"))
-    return returned(frames(spark, d).withColumn("z", (F.col("vn") - F.avg("vn").over(W.partitionBy("cell"))) / F.when(sd > 0, sd).otherwise(1.0)), "cell", "frame", "z")
+    return returned(R.z_scored(frames(spark, d), "vn", "z", "cell"), "cell", "frame", "z")
 
 
 @query(with_tables("fr", f"SELECT cell, frame, {r('CASE WHEN hi > lo THEN (vn - lo) / (hi - lo) ELSE 0 END', 'n')} FROM (SELECT *, min(vn) OVER (PARTITION BY cell) AS lo, max(vn) OVER (PARTITION BY cell) AS hi FROM fr)"))
 def a2_unit_range(spark: SparkSession, d: str) -> DataFrame:
-    lo, hi = F.min("vn").over(W.partitionBy("cell")), F.max("vn").over(W.partitionBy("cell"))
-    return returned(frames(spark, d).withColumn("n", F.when(hi > lo, (F.col("vn") - lo) / (hi - lo)).otherwise(0.0)), "cell", "frame", "n")
+    return returned(R.unit_range(frames(spark, d), "vn", "n", "cell"), "cell", "frame", "n")
 
 
 MAD = "md AS (SELECT *, quantile_cont(vn, 0.5) OVER (PARTITION BY cell) AS m FROM fr)"
@@ -52,24 +51,19 @@ MAD = "md AS (SELECT *, quantile_cont(vn, 0.5) OVER (PARTITION BY cell) AS m FRO
 
 @query(with_tables("fr", f"SELECT cell, {r('any_value(m)', 'median')}, {r('1.4826 * quantile_cont(abs(vn - m), 0.5)', 'mad')} FROM md GROUP BY cell", MAD))
 def a3_robust_mad(spark: SparkSession, d: str) -> DataFrame:
-    m = frames(spark, d).groupBy("cell").agg(F.percentile("vn", 0.5).alias("median"))
-    j = frames(spark, d).join(m, "cell").groupBy("cell").agg(F.first("median").alias("median"), (F.percentile(F.abs(F.col("vn") - F.col("median")), 0.5) * 1.4826).alias("mad"))
-    return returned(j)
+    return returned(R.median_and_mad(frames(spark, d), "vn", "cell"))
 
 
 @query(with_tables("fr", f"SELECT cell, round(quantile_cont(vn, 0.5), 9) AS centre, round(CASE WHEN quantile_cont(vn, 0.99) > quantile_cont(vn, 0.01) THEN quantile_cont(vn, 0.99) - quantile_cont(vn, 0.01) WHEN stddev_pop(vn) > 0 THEN 6 * stddev_pop(vn) ELSE 1 END, 9) AS scale FROM fr GROUP BY cell"))
 def a4_robust_scale(spark: SparkSession, d: str) -> DataFrame:
-    s = frames(spark, d).groupBy("cell").agg(F.percentile("vn", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q"), F.stddev_pop("vn").alias("sd"))
-    spread = F.get("q", F.lit(2)) - F.get("q", F.lit(0))
-    return returned(s.select("cell", F.get("q", F.lit(1)).alias("centre"), F.when(spread > 0, spread).when(F.col("sd") > 0, 6 * F.col("sd")).otherwise(1.0).alias("scale")), digits=9)
+    return returned(R.centre_and_scale(frames(spark, d), "vn", "cell"), digits=9)
 
 
 SEGMENT = "sm AS (SELECT *, frame // 20 AS segment, quantile_cont(vn, 0.5) OVER (PARTITION BY cell, frame // 20) AS m FROM fr)"
 
 
 def _segments(fr: DataFrame) -> DataFrame:
-    s = fr.withColumn("segment", F.floor(F.col("frame") / 20).cast("long"))
-    return s.join(s.groupBy("cell", "segment").agg(F.percentile("vn", 0.5).alias("m")), ["cell", "segment"])
+    return R.with_segment_median(fr, "vn", 20, "m")
 
 
 @query(with_tables("fr", f"SELECT cell, segment, {r('any_value(m) + 4 * quantile_cont(abs(vn - m), 0.5)', 'threshold')} FROM sm GROUP BY ALL", SEGMENT))
@@ -156,21 +150,17 @@ def a29_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("fr", f"SELECT cell, frame // 10 AS bin, frame, {r('v', 'v')} FROM (SELECT *, row_number() OVER (PARTITION BY cell, frame // 10 ORDER BY v, frame) AS a, row_number() OVER (PARTITION BY cell, frame // 10 ORDER BY v DESC, frame) AS b FROM fr) WHERE a = 1 OR b = 1"))
 def a30_envelope(spark: SparkSession, d: str) -> DataFrame:
-    point = F.struct("frame", "v")
-    b = frames(spark, d).groupBy("cell", F.floor(F.col("frame") / 10).cast("long").alias("bin")).agg(F.min_by(point, F.struct("v", "frame")).alias("lo"), F.max_by(point, F.struct(F.col("v"), -F.col("frame"))).alias("hi"))
-    return returned(b.select("cell", "bin", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p")).select("cell", "bin", "p.frame", "p.v"))
+    return returned(R.envelope(frames(spark, d), "v", 10))
 
 
 @query(with_tables("fr", f"SELECT cell, segment, {r('1 / stddev_pop(vn - m)', 'snr')} FROM sm GROUP BY ALL HAVING stddev_pop(vn - m) > 0", SEGMENT))
 def a34_segment_snr(spark: SparkSession, d: str) -> DataFrame:
-    s = _segments(frames(spark, d)).groupBy("cell", "segment").agg(F.stddev_pop(F.col("vn") - F.col("m")).alias("sd")).where("sd > 0")
-    return returned(s.select("cell", "segment", (1 / F.col("sd")).alias("snr")))
+    return returned(R.segment_snr(frames(spark, d), "vn", 20))
 
 
 @query(with_tables("fr", f"SELECT cell, frame, {r('v - low', 'height')} FROM (SELECT *, min(v) OVER ({CELL} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS low FROM fr) WHERE kind = 'error' AND low IS NOT NULL"))
 def a35_spike_height(spark: SparkSession, d: str) -> DataFrame:
-    low = F.min("v").over(S.by_cell().rowsBetween(-3, -1))
-    return returned(frames(spark, d).withColumn("low", low).where(is_error() & F.col("low").isNotNull()).withColumn("height", F.col("v") - F.col("low")), "cell", "frame", "height")
+    return returned(R.spike_height(frames(spark, d), "v", is_error(), 3, "height"), "cell", "frame", "height")
 
 
 @query(with_tables("fr", f"SELECT {r('min(m)', 'lo')}, {r('max(m)', 'hi')} FROM (SELECT cell, avg(v) AS m FROM fr GROUP BY cell)"))
@@ -184,21 +174,17 @@ wh AS (SELECT *, count(*) OVER (PARTITION BY cell, frame) AS n FROM ev)"""
 
 def _waves(spark: SparkSession, d: str) -> DataFrame:
     fr = frames(spark, d)
-    e = spikes(fr).where("kind = 'cs'").select("cell", F.col("frame").alias("at"), F.explode(F.sequence(F.lit(-2).cast("long"), F.lit(3).cast("long"))).alias("o"))
-    e = e.withColumn("frame", F.col("at") + F.col("o")).join(fr.select("cell", "frame", "v"), ["cell", "frame"])
-    return e.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("cell", "at"))).where("n = 6")
+    return R.waveforms(fr, "v", spikes(fr).where("kind = 'cs'"), 2, 3)
 
 
 @query(with_tables("sp", f"SELECT cell, o, count(*) AS n, {r('avg(v)', 'mean')}, {r('stddev_samp(v) / sqrt(count(*))', 'sem')} FROM wh WHERE n = 6 GROUP BY cell, o", WAVES))
 def a38_event_average(spark: SparkSession, d: str) -> DataFrame:
-    return returned(_waves(spark, d).groupBy("cell", "o").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count(F.lit(1)))).alias("sem")))
+    return returned(R.mean_waveform(_waves(spark, d), "v", "cell"))
 
 
 @query(with_tables("sp", f"SELECT cell, frame AS at, o, {r('(v - lo) / (hi - lo)', 'w')} FROM (SELECT *, min(v) OVER (PARTITION BY cell, frame) AS lo, max(v) OVER (PARTITION BY cell, frame) AS hi FROM wh WHERE n = 6) WHERE hi > lo", WAVES))
 def a39_normalised_waveform(spark: SparkSession, d: str) -> DataFrame:
-    e = W.partitionBy("cell", "at")
-    w = _waves(spark, d).withColumns({"lo": F.min("v").over(e), "hi": F.max("v").over(e)}).where("hi > lo")
-    return returned(w.withColumn("w", (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))), "cell", "at", "o", "w")
+    return returned(R.scaled_waveforms(_waves(spark, d), "v", "w"), "cell", "at", "o", "w")
 
 
 @query(with_tables("fr", "SELECT session, kind, count(*) AS n FROM fr GROUP BY CUBE (session, kind)"))
@@ -216,14 +202,12 @@ def p4_snr_bad(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("fr", "SELECT DISTINCT cell FROM fr WHERE cell NOT IN (SELECT cell FROM fr GROUP BY cell HAVING avg(CAST(v < 250 AS INTEGER)) > 0.55)"))
 def p5_kept_cells(spark: SparkSession, d: str) -> DataFrame:
-    fr = frames(spark, d)
-    gone = fr.groupBy("cell").agg(F.avg((F.col("v") < 250).cast("double")).alias("share")).where("share > 0.55")
-    return fr.select("cell").distinct().join(gone, "cell", "left_anti")
+    return R.without_share(frames(spark, d), F.col("v") < 250, 0.55)
 
 
 @query(with_tables("fr", f"SELECT cell, {r('count(*) / 600.0', 'minutes')} FROM fr WHERE vn >= 50 GROUP BY cell HAVING count(*) / 600.0 >= 0.08"))
 def p6_good_minutes(spark: SparkSession, d: str) -> DataFrame:
-    return returned(frames(spark, d).where("vn >= 50").groupBy("cell").agg((F.count(F.lit(1)) / 600.0).alias("minutes")).where("minutes >= 0.08"))
+    return returned(R.good_minutes(frames(spark, d), F.col("vn") >= 50, 10.0, 0.08))
 
 
 @query(with_tables("fr", f"SELECT cell, count(*) AS n, CAST(count_if(vn IS NULL) AS BIGINT) AS missing, CAST(count_if(hd > 350) AS BIGINT) AS turned, CAST(count_if(vn IS NOT NULL AND hd <= 350 AND v < 50) AS BIGINT) AS snr_only, {r('100.0 * count_if(vn IS NULL OR hd > 350 OR v < 50) / count(*)', 'pct')} FROM fr GROUP BY cell"))
@@ -280,13 +264,7 @@ al AS (SELECT f.cell, f.frame, f.ms, (SELECT max(b.ms) FROM be b WHERE b.cell =
 
 @query(with_tables("fr", f"SELECT al.cell, al.frame, {r('CASE WHEN b0 IS NULL THEN q.x WHEN b1 IS NULL OR b0 = b1 THEN p.x ELSE p.x + (q.x - p.x) * (al.ms - b0) / (b1 - b0) END', 'x')} FROM al LEFT JOIN be p ON p.cell = al.cell AND p.ms = b0 LEFT JOIN be q ON q.cell = al.cell AND q.ms = b1", ASOF))
 def j10_aligned_position(spark: SparkSession, d: str) -> DataFrame:
-    """Positions known at some times only, as of every frame: a sort by cell and time, and one backwards, find both neighbours."""
-    w, back = (W.partitionBy("cell").orderBy(t).rowsBetween(W.unboundedPreceding, 0) for t in ("ms", F.desc("ms")))
-    known = F.when(F.col("event_id") % 3 == 0, F.struct("ms", "x"))
-    fr = frames(spark, d).withColumns({"b": F.last(known, True).over(w), "a": F.last(known, True).over(back)})
-    line = F.col("b.x") + (F.col("a.x") - F.col("b.x")) * (F.col("ms") - F.col("b.ms")) / (F.col("a.ms") - F.col("b.ms"))
-    x = F.when(F.col("b").isNull(), F.col("a.x")).when(F.col("a").isNull() | (F.col("a.ms") == F.col("b.ms")), F.col("b.x")).otherwise(line)
-    return returned(fr.withColumn("x", x), "cell", "frame", "x")
+    return returned(R.aligned(frames(spark, d), "ms", F.col("event_id") % 3 == 0, "x", "x"), "cell", "frame", "x")
 
 
 @query(with_tables("fr", "SELECT a.cell, a.frame, b.kind FROM fr a JOIN fr b ON b.cell = a.cell AND b.frame = CAST(round_even(a.frame * 0.9, 0) AS BIGINT)"))
@@ -298,18 +276,15 @@ def j11_nearest_frame(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT s_suppkey AS event, min_by(n, dist) AS cluster, {r('min(dist)', 'dist')} FROM (SELECT s_suppkey, n_nationkey AS n, abs(s_acctbal - n_nationkey * 400.5) AS dist FROM supplier, nation) WHERE dist <= 150 GROUP BY s_suppkey")
 def j18_cluster_by_radius(spark: SparkSession, d: str) -> DataFrame:
-    """Centres are a table of known size and are broadcast; an event meets only those of the two cells of the radius about it."""
-    c = table(spark, d, "nation").select(F.col("n_nationkey").alias("cluster"), (F.col("n_nationkey") * 400.5).alias("centre")).withColumn("k", F.floor(F.col("centre") / 150))
-    e = table(spark, d, "supplier").select(F.col("s_suppkey").alias("event"), F.col("s_acctbal").alias("at"))
-    e = e.withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / 150) - 1, F.floor(F.col("at") / 150) + 1)))
-    j = e.join(c, "k").withColumn("dist", F.abs(F.col("at") - F.col("centre"))).where("dist <= 150")
-    return returned(j.groupBy("event").agg(F.min_by("cluster", "dist").alias("cluster"), F.min("dist").alias("dist")).select("event", "cluster", "dist"))
+    centres = table(spark, d, "nation").select(F.col("n_nationkey").alias("cluster"), (F.col("n_nationkey") * 400.5).alias("centre"))
+    events = table(spark, d, "supplier").select(F.col("s_suppkey").alias("event"), F.col("s_acctbal").alias("at"))
+    return returned(R.nearest_centre(events, "at", centres, "centre", "cluster", 150.0, "event"), "event", "cluster", "dist")
 
 
 @query("SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_name < b.r_name")
 def j19_category_pairs(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "region").select("r_name")
-    return names.select(F.col("r_name").alias("a")).join(F.broadcast(names.select(F.col("r_name").alias("b"))), F.col("a") < F.col("b"))
+    return names.select(F.col("r_name").alias("a")).join(names.select(F.col("r_name").alias("b")), F.col("a") < F.col("b"))
 
 
 # --- rankings and sets
@@ -317,8 +292,7 @@ def j19_category_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("sp", f"SELECT cell, frame, {r('v', 'v')} FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY v DESC, frame) AS n FROM sp) WHERE n <= 5"))
 def k1_top_spikes(spark: SparkSession, d: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("v"), "frame"))
-    return returned(spikes(frames(spark, d)).withColumn("n", n).where("n <= 5"), "cell", "frame", "v")
+    return returned(R.top(spikes(frames(spark, d)), 5, ["cell"], F.desc("v"), "frame"), "cell", "frame", "v")
 
 
 @query(with_tables("fr", f"SELECT cell, round(quantile_cont(v, 0.95), 9) AS cut FROM fr GROUP BY cell"))
@@ -328,15 +302,14 @@ def k3_percentile_cut(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey AS cell, s_nationkey AS category, CAST((row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS BIGINT) AS page FROM supplier")
 def k5_pages(spark: SparkSession, d: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("category"), F.floor((n - 1) / 3).cast("long").alias("page"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("category"))
+    return R.pages(s, 3, "category", "cell", "page")
 
 
 @query(with_tables("fr", "SELECT cell, kind AS best FROM (SELECT cell, kind, row_number() OVER (PARTITION BY cell ORDER BY round(avg(v), 6) DESC, kind) AS n FROM fr GROUP BY cell, kind) WHERE n = 1"))
 def k6_best_model(spark: SparkSession, d: str) -> DataFrame:
     m = frames(spark, d).groupBy("cell", "kind").agg(F.round(F.avg("v"), 6).alias("m"))
-    n = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("m"), "kind"))
-    return m.withColumn("n", n).where("n = 1").select("cell", F.col("kind").alias("best"))
+    return R.top(m, 1, ["cell"], F.desc("m"), "kind").select("cell", F.col("kind").alias("best"))
 
 
 @query(with_tables("bu sp", "SELECT cell, frame FROM sp WHERE kind = 'cs' UNION SELECT cell, loc AS frame FROM bu"))
@@ -365,7 +338,7 @@ def m9_cell_class(spark: SparkSession, d: str) -> DataFrame:
     fr = frames(spark, d)
     n = bursts(fr).join(fr.select("cell", F.col("frame").alias("loc")), ["cell", "loc"]).groupBy("cell").agg(F.count(F.lit(1)).alias("n_cb"))
     c = fr.groupBy("cell").agg(F.max("v").alias("top")).join(n, "cell", "left").withColumn("n_cb", F.coalesce("n_cb", F.lit(0).cast("long")))
-    return c.select("cell", F.when((F.col("n_cb") >= 10) & (F.col("top") > 400), "CS+").when(F.col("n_cb") >= 10, "CS-").otherwise("other").alias("class"))
+    return c.select("cell", R.cell_class(F.col("n_cb"), F.col("top"), 10, 400.0).alias("class"))
 
 
 PVALUES = "pv AS (SELECT s_suppkey AS test, s_nationkey AS family, ((s_suppkey * 7919) % 1000 + 1) / 5000.0 AS p FROM supplier)"
