@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewise.operators.sequence import FRAME, KEY, by_cell
+from framewise.operators.intervals import covered
+from framewise.operators.sequence import FRAME, KEY, by_cell, nearest, speed
 
 
 def z_scored(df: DataFrame, c: str, out: str, *by: str) -> DataFrame:
@@ -122,3 +123,24 @@ def pages(df: DataFrame, size: int, by: str, order: str, out: str) -> DataFrame:
 def cell_class(counts: Column, peak: Column, least_bursts: int, least_peak: float) -> Column:
     """CS+ for enough bursts and a high peak, CS- for enough bursts, else other."""
     return F.when((counts >= least_bursts) & (peak > least_peak), "CS+").when(counts >= least_bursts, "CS-").otherwise("other")
+
+
+def through_centres(df: DataFrame, segments: DataFrame, value: str, length: int, out: str) -> DataFrame:
+    """Values of segments of ``length`` frames (cell, segment, value) as of every frame: along the lines through the segments' centres, held at the ends."""
+    w = W.partitionBy(KEY).orderBy("segment")
+    near = lambda f: f(F.struct(F.col("segment").alias("k"), F.col(value).alias("v"))).over(w)
+    s = segments.withColumns({"__before": near(F.lag), "__after": near(F.lead)}).select(KEY, "segment", F.col(value).alias("__v"), "__before", "__after")
+    j = df.withColumn("segment", F.floor(F.col(FRAME) / length).cast("long")).join(s, [KEY, "segment"])
+    off = F.col(FRAME) - (F.col("segment") * length + (length - 1) / 2.0)
+    other = F.when(off >= 0, F.col("__after")).otherwise(F.col("__before"))
+    line = F.col("__v") + (other["v"] - F.col("__v")) * F.abs(off) / (F.abs(other["k"] - F.col("segment")) * length)
+    return j.withColumn(out, F.coalesce(line, F.col("__v"))).drop("segment", "__v", "__before", "__after")
+
+
+def steady_positions(df: DataFrame, fastest: float, pad: int) -> DataFrame:
+    """Positions (x, y, ms) without jumps: frames within ``pad`` of a speed over ``fastest`` take the nearest good position, then ``speed`` is told anew."""
+    fast = speed(df).where(F.col("speed") > fastest).select(KEY, (F.col(FRAME) - pad).alias("lo"), (F.col(FRAME) + pad).alias("hi"))
+    bare = covered(df, fast, "__fast")
+    for c in ("x", "y"):
+        bare = nearest(bare.withColumn("__good", F.when(~F.col("__fast"), F.col(c))), "__good", "__near").withColumn(c, F.col("__near")).drop("__good", "__near")
+    return speed(bare.drop("__fast"))

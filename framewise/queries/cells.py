@@ -10,8 +10,10 @@ from framewise.functions.scalar import selectivity
 from framewise.operators import cells as C
 from framewise.operators import grids as G
 from framewise.operators import intervals as I
+from framewise.operators import traces as R
 from framewise.queries.maps import is_error
 from framewise.queries.registry import connected, query, r, with_tables
+from framewise.queries.sequence import SPEED
 
 COARSE = "cb AS (SELECT * REPLACE (ix // 4 AS ix, iy // 4 AS iy) FROM fb)"
 RATES = COARSE + ",\nsr AS (SELECT cell, session, ix, iy, count(*) / 10.0 AS occ, count(*) FILTER (WHERE kind = 'error') AS n, count(*) FILTER (WHERE kind = 'error') / (count(*) / 10.0) AS rate FROM cb GROUP BY ALL)"
@@ -224,3 +226,34 @@ def fn_json_params(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '([^/]*)$', 1) AS leaf FROM pages")
 def fn_path_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "([^/]*)$", 1).alias("leaf"))
+
+
+BATCHES = f"""{COARSE},
+{SPEED},
+pb AS (SELECT cb.cell, CASE WHEN speed >= 0.5 THEN 'run' ELSE 'slow' END AS pace, cb.ix, cb.iy, cb.kind FROM cb JOIN sd ON sd.cell = cb.cell AND sd.frame = cb.frame),
+ks AS (SELECT 'all' AS spikes, ['error', 'click', 'view'] AS ks UNION ALL SELECT 'cs', ['error'] UNION ALL SELECT 'ss', ['click', 'view']),
+rb AS (SELECT cell, pace, spikes, ix, iy, count(*) / 10.0 AS occ, count(*) FILTER (WHERE list_contains(ks, kind)) / (count(*) / 10.0) AS rate FROM pb, ks GROUP BY cell, pace, spikes, ix, iy),
+wb AS (SELECT *, occ / sum(occ) OVER w AS p FROM rb WINDOW w AS (PARTITION BY cell, pace, spikes)),
+mb AS (SELECT *, sum(p * rate) OVER (PARTITION BY cell, pace, spikes) AS mean FROM wb)"""
+
+
+@query(with_tables("fb", f"SELECT cell, pace, spikes, {r('sum(CASE WHEN mean > 0 THEN rate * log2(rate / mean + 1e-15) * p ELSE 0 END)', 'info')} FROM mb GROUP BY ALL", BATCHES))
+def m3_information_batches(spark: SparkSession, d: str) -> DataFrame:
+    from framewise.operators.sequence import speed
+
+    b = _coarse(speed(frames(spark, d)))
+    fast = F.col("speed") >= 0.5
+    kinds = {"all": F.col("kind").isin("error", "click", "view"), "cs": is_error(), "ss": F.col("kind").isin("click", "view")}
+    return returned(C.information_batches(b, {"run": fast, "slow": ~fast}, kinds, 10.0))
+
+
+CENTRES = """sg AS (SELECT cell, frame // 10 AS segment, avg(v) AS m FROM fr GROUP BY ALL),
+sl AS (SELECT *, lag(m) OVER w AS pm, lag(segment) OVER w AS ps, lead(m) OVER w AS nm, lead(segment) OVER w AS ns FROM sg WINDOW w AS (PARTITION BY cell ORDER BY segment)),
+fo AS (SELECT fr.cell, frame, frame - (segment * 10 + 4.5) AS off, sl.* EXCLUDE (cell) FROM fr JOIN sl ON sl.cell = fr.cell AND sl.segment = fr.frame // 10)"""
+
+
+@query(with_tables("fr", f"SELECT cell, frame, {r('CASE WHEN off >= 0 THEN coalesce(m + (nm - m) * off / ((ns - segment) * 10), m) ELSE coalesce(m + (pm - m) * -off / ((segment - ps) * 10), m) END', 'snr')} FROM fo", CENTRES))
+def m39_frame_snr(spark: SparkSession, d: str) -> DataFrame:
+    fr = frames(spark, d)
+    segments = fr.groupBy("cell", F.floor(F.col("frame") / 10).cast("long").alias("segment")).agg(F.avg("v").alias("m"))
+    return returned(R.through_centres(fr, segments, "m", 10, "snr"), "cell", "frame", "snr")
