@@ -143,3 +143,13 @@ def test_places_that_cannot_hold_a_passage():
     longer = np.concatenate((a[1:70], [7], a[70:]))
     rows = [a, *edited.values(), longer, np.full(len(a), 3, np.int32)]
     assert substring.may_hold(np.stack([a] * len(rows)), np.stack(rows), 50, 0.8).tolist() == [True, True, True, False, False, True, False]
+
+
+def test_whole_pipeline(spark, small):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    out = corpus_pipeline.run(spark, small).collect()
+    assert out and all(r.round_trip for r in out) and {r.doc_id for r in out} <= set(docs)
+    per_copy = Counter((r.doc_id, r["sample"]) for r in out)
+    assert all(n <= mixing.MAX_EPOCHS for n in per_copy.values())
+    texts = Counter(docs[i].text for i in {r.doc_id for r in out})
+    assert max(texts.values()) == 1
