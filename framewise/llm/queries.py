@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, media, minhash, mixing, pii, substring, tokens, toxicity, warc
+from . import ann, conversations, line_dedup, media, minhash, mixing, overlap, pii, spelling, substring, tokens, toxicity, warc
 from .common import table
 
 
@@ -51,5 +51,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_warc, op4_nearest_neighbours, op5_pii, op6_substring_dedup, op7_sentencepiece, op8_media_columns, op9_mixing_sources, op10_toxicity)}
-SQL = {"op3_warc": warc.SQL, "op1_line_dedup": line_dedup.SQL, "op9_mixing_sources": mixing.SQL}
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.components(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_warc, op4_nearest_neighbours, op5_pii, op6_substring_dedup, op7_sentencepiece, op8_media_columns, op9_mixing_sources, op10_toxicity, op11_ngram_join, op12_conversation_repair, op13_spelling_variants)}
+SQL = {"op3_warc": warc.SQL, "op1_line_dedup": line_dedup.SQL, "op9_mixing_sources": mixing.SQL, "op11_ngram_join": overlap.SQL, "op12_conversation_repair": conversations.SQL, "op13_spelling_variants": spelling.SQL}
