@@ -45,6 +45,22 @@ def test_join_against_all_pairs(spark):
     assert got == links_by_hand(rows)
 
 
+def test_followers_of_an_anchor_against_all_pairs(spark):
+    """Near copies of two originals, most of them under the threshold to each other, with shared edits and cut ends."""
+    g = np.random.default_rng(9)
+    base = [f"b{x}" for x in range(160)]
+    other = base[:120] + [f"o{x}" for x in range(40)]
+    texts = [" ".join(base), " ".join(other)]
+    for _ in range(90):
+        c = list(base if g.random() < 0.6 else other)
+        for p in g.choice(np.arange(0, 160, 3), int(g.integers(0, 9)), replace=False):
+            c[p] = f"z{p}" if g.random() < 0.5 else f"y{g.integers(0, 10**6)}"
+        texts.append(" ".join(c[: 160 - int(g.integers(0, 12)) * int(g.integers(0, 2))]))
+    rows = list(enumerate(texts))
+    got = sorted(map(tuple, overlap.components(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
+    assert got == links_by_hand(rows) and 3 < len({c for _, _, c in got}) < 80
+
+
 def test_divide_skip_against_counting():
     g = np.random.default_rng(6)
     for _ in range(200):
@@ -52,7 +68,7 @@ def test_divide_skip_against_counting():
         some = [np.unique(np.concatenate((q[g.random(len(q)) < 0.97], g.integers(0, 60, int(g.integers(0, 4)))))) for _ in range(int(g.integers(1, 30)))]
         some = [c for c in some if len(c)]
         if some:
-            assert sorted(overlap.divide_skip(q, some)) == [i for i, c in enumerate(some) if 100 * len(np.intersect1d(q, c)) >= 85 * len(np.union1d(q, c))]
+            assert sorted(overlap.divide_skip(q, some)) == [(i, len(np.intersect1d(q, c))) for i, c in enumerate(some) if 100 * len(np.intersect1d(q, c)) >= 85 * len(np.union1d(q, c))]
 
 
 def repaired_by_hand(rows):
