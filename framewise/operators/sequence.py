@@ -1,11 +1,15 @@
 """Windows over the frames of a cell: smoothing, interpolation, differences, groups of spikes, ranks, baselines.
 
-``key`` columns name a cell, ``frame`` orders its rows.  A window needs one shuffle by cell and one sort; operators
-that share the cell reuse both.
+``key`` columns name a cell, ``frame`` orders its rows and counts them: a trace has a row for each frame, with a null where there is no
+value.  Windows of a fixed reach go by blocks of frames with a halo, so that a long recording spreads over tasks; what looks back as
+far as it must (interpolation, groups of spikes) needs one shuffle by cell and one sort.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,18 +21,51 @@ def by_cell(key: str = KEY, frame: str = FRAME):
     return W.partitionBy(key).orderBy(frame)
 
 
-def around(k: int, key: str = KEY, frame: str = FRAME):
+#: Frames of a block.
+BLOCK = 65536
+
+
+def in_blocks(df: DataFrame, block: int, halo: int, number: str = "block", own: str = "own") -> DataFrame:
+    """Each row in its block and in those whose halo it lies in: columns block, own."""
+    first, last = F.floor((F.col(FRAME) - halo) / block), F.floor((F.col(FRAME) + halo) / block)
+    spread = df.withColumn(number, F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(last, F.lit(0)))))
+    return spread.withColumn(own, F.col(number) == F.greatest(F.floor(F.col(FRAME) / block), F.lit(0)))
+
+
+def _by_block(df: DataFrame, reach: int, block: int, columns) -> DataFrame:
+    """``df`` with columns that ``columns`` makes out of a window over a block, the reach on both sides included."""
+    w = W.partitionBy(KEY, "__block").orderBy(FRAME)
+    return in_blocks(df, max(block, 4 * reach), reach, "__block", "__own").withColumns(columns(w)).where("__own").drop("__block", "__own")
+
+
+def _rows(w, k: int):
     """k rows: k // 2 before, the rest from this one on."""
-    return by_cell(key, frame).rowsBetween(-(k // 2), k - 1 - k // 2)
+    return w.rowsBetween(-(k // 2), k - 1 - k // 2)
 
 
-def moving_mean(df: DataFrame, c: str, k: int, out: str) -> DataFrame:
+def moving_mean(df: DataFrame, c: str, k: int, out: str, block: int = BLOCK) -> DataFrame:
     """Mean of the valid values of the window, null without any."""
-    return df.withColumn(out, F.avg(c).over(around(k)))
+    return _by_block(df, k, block, lambda w: {out: F.avg(c).over(_rows(w, k))})
+
 
+def moving_median(df: DataFrame, c: str, k: int, out: str, block: int = BLOCK) -> DataFrame:
+    """Median of the valid values of the window, null without any.
 
-def moving_median(df: DataFrame, c: str, k: int, out: str) -> DataFrame:
-    return df.withColumn(out, F.expr(f"percentile({c}, 0.5)").over(around(k)))
+    A task holds a block with its halo and keeps the window's values in order as it moves on, so a frame costs the logarithm of k.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(FRAME)
+        after = k - 1 - k // 2
+        v = np.append(t.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False), np.full(after, np.nan))
+        mid = pd.Series(v).rolling(k, min_periods=1).median().to_numpy()[after:]
+        t = t.append_column(pa.field(out, pa.float64()), pa.array(mid, from_pandas=True)).filter(t.column("__own"))
+        return t.select([*names, out])
+
+    names = [x for x in df.columns if x != out]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != out)
+    rows = in_blocks(df, max(block, 4 * k), k, "__block", "__own")
+    return rows.groupBy(KEY, "__block").applyInArrow(run, f"{fields}, `{out}` double")
 
 
 def anchors(c: str, frame: str = FRAME) -> tuple[Column, Column]:
@@ -60,35 +97,47 @@ def nearest(df: DataFrame, c: str, out: str) -> DataFrame:
 
 
 def edge_padded(df: DataFrame, c: str, p: int, mode: str) -> DataFrame:
-    """(cell, frame, c) with p rows more at both ends: mirrored (``reflect``, the edge row twice) or ``zero``."""
-    sized = df.select(KEY, FRAME, c, F.count(F.lit(1)).over(W.partitionBy(KEY)).alias("__n"))
+    """(cell, frame, c, __size) with p rows more at both ends: mirrored (``reflect``, the edge row twice) or ``zero``; __size is the number of frames before."""
+    slim = df.select(KEY, FRAME, c)
+    sized = slim.join(slim.groupBy(KEY).agg(F.count(F.lit(1)).alias("__size")), KEY)
     value = F.col(c) if mode == "reflect" else F.lit(0.0)
-    front = sized.where(F.col(FRAME) < p).select(KEY, (-1 - F.col(FRAME)).alias(FRAME), value.alias(c))
-    back = sized.where(F.col(FRAME) >= F.col("__n") - p).select(KEY, (2 * F.col("__n") - 1 - F.col(FRAME)).alias(FRAME), value.alias(c))
-    inside = sized.select(KEY, FRAME, c)
-    return inside.unionByName(front).unionByName(back).withColumn("__size", F.count(F.lit(1)).over(W.partitionBy(KEY)))
+    n = F.col("__size")
+    ends = F.array(
+        F.struct(F.col(FRAME).alias("f"), F.col(c).alias("v")),
+        F.when(F.col(FRAME) < p, F.struct((-1 - F.col(FRAME)).alias("f"), value.alias("v"))),
+        F.when(F.col(FRAME) >= n - p, F.struct((2 * n - 1 - F.col(FRAME)).alias("f"), value.alias("v"))),
+    )
+    return sized.select(KEY, "__size", F.explode(ends).alias("e")).where("e is not null").select(KEY, F.col("e.f").alias(FRAME), F.col("e.v").alias(c), "__size")
 
 
-def _inside(df: DataFrame, p: int) -> DataFrame:
-    """Without the padding: every cell has p rows at either end, or as many as it had rows."""
-    n = F.col("__size")
-    own = F.when(n >= 3 * p, n - 2 * p).otherwise((n / 3).cast("long"))
-    return df.where((F.col(FRAME) >= 0) & (F.col(FRAME) < own)).drop("__size")
+def _inside(df: DataFrame) -> DataFrame:
+    return df.where((F.col(FRAME) >= 0) & (F.col(FRAME) < F.col("__size"))).drop("__size")
 
 
-def boxcar_reflect(df: DataFrame, c: str, k: int, out: str) -> DataFrame:
-    p = k // 2
-    return _inside(edge_padded(df, c, p, "reflect").withColumn(out, F.avg(c).over(around(k))), p)
+def boxcar_reflect(df: DataFrame, c: str, k: int, out: str, block: int = BLOCK) -> DataFrame:
+    return _inside(moving_mean(edge_padded(df, c, k // 2, "reflect"), c, k, out, block))
+
+
+def median_edge(df: DataFrame, c: str, k: int, out: str, mode: str = "reflect", block: int = BLOCK) -> DataFrame:
+    return _inside(moving_median(edge_padded(df, c, k // 2, mode), c, k, out, block))
 
 
-def median_edge(df: DataFrame, c: str, k: int, out: str, mode: str = "reflect") -> DataFrame:
+def median_highpass(df: DataFrame, c: str, k: int, out: str, block: int = BLOCK) -> DataFrame:
+    """The value less the median of k frames around it (k odd), the ends held: a short-median residual of a trace or of each pixel of a movie."""
+    if k < 3 or k % 2 == 0:
+        raise ValueError("the window must be odd and at least 3")
     p = k // 2
-    return _inside(edge_padded(df, c, p, mode).withColumn(out, F.expr(f"percentile({c}, 0.5)").over(around(k))), p)
+    slim = df.select(KEY, FRAME, c)
+    ends = slim.groupBy(KEY).agg(F.count(F.lit(1)).alias("__size"), F.min_by(c, FRAME).alias("__first"), F.max_by(c, FRAME).alias("__last"))
+    before = ends.select(KEY, F.explode(F.sequence(F.lit(-p).cast("long"), F.lit(-1).cast("long"))).alias(FRAME), F.col("__first").alias(c), "__size")
+    after = ends.select(KEY, F.explode(F.sequence(F.col("__size"), F.col("__size") + (p - 1))).alias(FRAME), F.col("__last").alias(c), "__size")
+    padded = slim.join(ends.select(KEY, "__size"), KEY).select(KEY, FRAME, c, "__size").unionAll(before).unionAll(after)
+    return _inside(moving_median(padded, c, k, "__mid", block)).select(KEY, FRAME, (F.col(c) - F.col("__mid")).alias(out))
 
 
-def boxcar_zero(df: DataFrame, c: str, k: int, out: str) -> DataFrame:
+def boxcar_zero(df: DataFrame, c: str, k: int, out: str, block: int = BLOCK) -> DataFrame:
     """Zero outside the recording: the sum of what is there, over k."""
-    return df.withColumn(out, F.coalesce(F.sum(c).over(around(k)), F.lit(0.0)) / k)
+    return _by_block(df, k, block, lambda w: {out: F.coalesce(F.sum(c).over(_rows(w, k)), F.lit(0.0)) / k})
 
 
 def speed(df: DataFrame) -> DataFrame:
@@ -111,9 +160,9 @@ def travel_direction(df: DataFrame, least_step: float = 0.0) -> DataFrame:
     return df.withColumn("direction", F.when(F.hypot("__gx", "__gy") > least_step, angle)).drop("__gx", "__gy")
 
 
-def local_peaks(df: DataFrame, c: str, height: float) -> DataFrame:
-    before, after = F.lag(c).over(by_cell()), F.lead(c).over(by_cell())
-    return df.withColumns({"__p": before, "__n": after}).where((F.col(c) > height) & (F.col(c) > F.col("__p")) & (F.col(c) >= F.col("__n"))).drop("__p", "__n")
+def local_peaks(df: DataFrame, c: str, height: float, block: int = BLOCK) -> DataFrame:
+    near = _by_block(df, 1, block, lambda w: {"__p": F.lag(c).over(w), "__n": F.lead(c).over(w)})
+    return near.where((F.col(c) > height) & (F.col(c) > F.col("__p")) & (F.col(c) >= F.col("__n"))).drop("__p", "__n")
 
 
 def plateau_peaks(df: DataFrame, c: str, height: float) -> DataFrame:

@@ -9,14 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.operators.sequence import FRAME, KEY, isi_groups, plateau_peaks
-
-
-def in_blocks(df: DataFrame, block: int, halo: int) -> DataFrame:
-    """Each row in its block and in those whose halo it lies in: columns block, own."""
-    first, last = F.floor((F.col(FRAME) - halo) / block), F.floor((F.col(FRAME) + halo) / block)
-    spread = df.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    return spread.withColumn("own", F.col("block") == F.floor(F.col(FRAME) / block))
+from framewise.operators.sequence import FRAME, KEY, in_blocks, isi_groups, plateau_peaks
 
 
 def _filtered(v: np.ndarray, gain) -> np.ndarray:
@@ -32,6 +25,10 @@ def _filtered(v: np.ndarray, gain) -> np.ndarray:
     return y
 
 
+def _kind(df: DataFrame) -> str:
+    return df.schema[KEY].dataType.simpleString()
+
+
 def _by_blocks(df: DataFrame, c: str, out: str, gain, block: int, halo: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(FRAME)
@@ -39,7 +36,7 @@ def _by_blocks(df: DataFrame, c: str, out: str, gain, block: int, halo: int) ->
         return pdf.loc[pdf.own, [KEY, FRAME, out]]
 
     rows = in_blocks(df.select(KEY, FRAME, c), block, halo)
-    return rows.groupBy(KEY, "block").applyInPandas(run, f"{KEY} long, {FRAME} long, {out} double")
+    return rows.groupBy(KEY, "block").applyInPandas(run, f"{KEY} {_kind(df)}, {FRAME} long, {out} double")
 
 
 def butterworth(df: DataFrame, c: str, out: str, cut: float, kind: str = "high", order: int = 5, top: float | None = None, block: int = 65536) -> DataFrame:
@@ -88,7 +85,7 @@ def find_peaks(df: DataFrame, c: str, height: float, distance: int) -> DataFrame
         return pdf.loc[pdf[FRAME].isin(kept), [KEY, FRAME, c]]
 
     lone = p.where("__n = 1").select(KEY, FRAME, c)
-    return lone.unionByName(p.where("__n > 1").groupBy(KEY, "grp").applyInPandas(thin, f"{KEY} long, {FRAME} long, {c} double"))
+    return lone.unionByName(p.where("__n > 1").groupBy(KEY, "grp").applyInPandas(thin, f"{KEY} {_kind(df)}, {FRAME} long, {c} double"))
 
 
 def poisson_tuning(counts: DataFrame, bins: int, penalty: float) -> DataFrame:

@@ -246,6 +246,24 @@ def wilcoxon_p(differences: np.ndarray, exact_up_to: int = 50) -> tuple[float, f
     return w, normal_p((w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48))
 
 
+def wilcoxon_greater_p(differences: np.ndarray, exact_up_to: int = 50) -> float:
+    """One-sided p of the signed ranks of differences being above 0: exact as in ``wilcoxon_p``; 1 if all are 0, NaN without any."""
+    d = np.asarray(differences, float)
+    if not len(d) or np.abs(d).max() <= 1e-8:
+        return 1.0 if len(d) else math.nan
+    some = d[d != 0]
+    r, n = _ranks(np.abs(some)), len(some)
+    w = float(r[some > 0].sum())
+    if n == len(d) and n <= exact_up_to and len(np.unique(np.abs(some))) == n:
+        counts = np.zeros(n * (n + 1) // 2 + 1)
+        counts[0] = 1
+        for k in range(1, n + 1):
+            counts[k:] += counts[:-k].copy()
+        return float(counts[int(w) :].sum() / counts.sum())
+    tie = float(sum(c**3 - c for c in np.unique(np.abs(some), return_counts=True)[1]))
+    return 0.5 * math.erfc((w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) / math.sqrt(2))
+
+
 def mann_whitney_p(a: np.ndarray, b: np.ndarray, exact_up_to: int = 8) -> tuple[float, float]:
     """(u of a, two-sided p): exact if one side is small and nothing is tied, else by the normal law with continuity 1/2."""
     na, nb = len(a), len(b)
