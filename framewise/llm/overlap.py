@@ -83,7 +83,7 @@ def _heads(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Itera
         sh, n = distinct_sets(words, counts, width)
         size, short = head_sizes(n, percent)
         rank = np.arange(len(sh)) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(short, pa.int64()), _lists(sh[rank < np.repeat(size, n)], size)], names=["doc_id", "text_key", "n", "short", "head"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(short, pa.int64()), pa.array(size, pa.int64()), _lists(sh[rank < np.repeat(size, n)], size)], names=["doc_id", "text_key", "n", "short", "size", "head"])
     pa.default_memory_pool().release_unused()
 
 
@@ -173,12 +173,12 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(lambda it: _compared(it, percent), "a long, b long, shared long")
 
 
-def _rarest(lists: DataFrame, by: list[str], entries: str) -> DataFrame:
-    """``lists`` (by, node, ...) with on, common, alone: the entries of each node's array that others of its group ``by`` hold too, the rarest first in one order for all, the sum of their logarithms, and how many nobody else holds."""
+def _rarest(lists: DataFrame, by: list[str], entries: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``lists`` (by, node, size of the array, ...) with on, common, alone: the entries of each node's array that others of its group ``by`` hold too, the rarest first in one order for all, the sum of their logarithms, and how many nobody else holds."""
     each = lists.select(*by, "node", F.explode(entries).alias("e"))
     counts = each.groupBy(*by, "e").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     kept = each.join(counts, [*by, "e"]).groupBy(*by, "node").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("on"), F.sum(F.log2("times")).alias("common"))
-    return lists.join(kept, [*by, "node"]).withColumn("alone", F.size(entries) - F.size("on"))
+    return lists.select(*(c for c in lists.columns if c in keep)).join(kept, [*by, "node"]).withColumn("alone", F.col("size") - F.size("on"))
 
 
 def _first(n: Column) -> Column:
@@ -224,7 +224,8 @@ def _difference_links(followers: DataFrame, sets: DataFrame, percent: int) -> Da
     #: What the nearest possible partner, the anchor itself, would have to share with one that asks, and the least that one that asks shares with one that is told.
     asks = size - (least(F.col("n"), F.col("m")) - F.col("m") + F.col("r")) + 1
     told = size - F.floor((1 - q) * F.col("r") + q * F.col("a") - 1e-9)
-    placed = _rarest(d.where("size(delta) > 0"), ["home"], "delta").select("node", "home", "n", "m", "r", "label", "delta", F.when(~F.col("linked"), _first(asks)).alias("asks"), _first(told).alias("told"))
+    some = d.where("size(delta) > 0").withColumn("size", F.size("delta"))
+    placed = _rarest(some, ["home"], "delta", [*d.columns, "size"]).select("node", "home", "n", "m", "r", "label", "delta", F.when(~F.col("linked"), _first(asks)).alias("asks"), _first(told).alias("told"))
     placed = stored(placed, "difference-lists")
     entry = lambda c, *more: placed.select("node", "home", "label", *more, F.explode(c).alias("o")).select("node", "home", "label", *more, "o.e")
     mixed = stored(entry("asks").unionAll(entry("told")).groupBy("home", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("node").alias("last")).where("lo != hi").select("home", "e"), "difference-entries")
@@ -260,12 +261,12 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     alone.  Rows that repeat an id are documents of their own; an empty table gives an empty one; other columns are not looked at.
     """
     slim = docs.select("doc_id", F.md5(F.translate("text", UPPER, LOWER)).alias("text_key"), F.translate("text", UPPER, LOWER).alias("text"))
-    heads = slim.mapInArrow(lambda it: _heads(it, width, percent), "doc_id long, text_key string, n long, short long, head array<long>")
+    heads = slim.mapInArrow(lambda it: _heads(it, width, percent), "doc_id long, text_key string, n long, short long, size long, head array<long>")
     heads = stored(heads.withColumn("uid", F.monotonically_increasing_id()), "heads")
     some = heads.where("n > 0")
     nodes = stored(some.groupBy("text_key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "nodes")
-    lists = some.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "n", "short", "head")
-    short = _rarest(lists, [], "head").withColumn("places", _first(F.col("short"))).select("node", "n", (F.col("common") / F.size("head")).alias("score"), F.size("on").alias("o"), *_marks(), F.col("places.e").alias("places"))
+    lists = some.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "n", "short", "size", "head")
+    short = _rarest(lists, [], "head", ["node", "n", "short", "size"]).withColumn("places", _first(F.col("short"))).select("node", "n", (F.col("common") / F.col("size")).alias("score"), F.size("on").alias("o"), *_marks(), F.col("places.e").alias("places"))
     members = stored(short.select(*(c for c in short.columns if c != "places"), F.explode("places").alias("s")), "members")
     sizes = stored(members.select("node", "n").distinct(), "sizes")
     alive = sizes.select("node").join(nodes, "node").select("node", "text_key", "least")
