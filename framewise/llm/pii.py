@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bound, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, written so that a regex engine passes over each run of characters once: where a match
@@ -41,21 +41,28 @@ BLOCK = 256
 
 def running_starts(steps: Column, first: Column) -> Column:
     """first[i] + the sum of steps before i, in time linear in their number but for one append per block."""
-    n_blocks = F.ceil(F.size(steps) / BLOCK).cast("int")
-    blocks = F.when(F.size(steps) > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>"))
-    own = lambda b: F.slice(steps, b * BLOCK + 1, BLOCK)
     grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    bases = F.aggregate(F.transform(blocks, lambda b: F.aggregate(own(b), F.lit(0), lambda a, x: a + x)), F.array(F.lit(0)), grow)
-    before = F.flatten(F.transform(blocks, lambda b: F.slice(F.aggregate(own(b), F.array(F.get(bases, b)), grow), 1, F.size(own(b)))))
-    return F.zip_with(before, first, lambda a, b: a + b)
+
+    def before(every: Column) -> Column:
+        n_blocks = F.ceil(F.size(every) / BLOCK).cast("int")
+        blocks = F.when(F.size(every) > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array().cast("array<int>"))
+        own = lambda b: F.slice(every, b * BLOCK + 1, BLOCK)
+        bases = F.aggregate(F.transform(blocks, lambda b: F.aggregate(own(b), F.lit(0), lambda a, x: a + x)), F.array(F.lit(0)), grow)
+        inside = lambda base: F.transform(blocks, lambda b: F.slice(F.aggregate(own(b), F.array(F.get(base, b)), grow), 1, F.size(own(b))))
+        return bound(bases, lambda base: F.flatten(inside(base)))
+
+    return F.zip_with(bound(steps, before), first, lambda a, b: a + b)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, value), in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.char_length), 1, F.size(found))
-    steps = F.zip_with(gaps, found, lambda g, m: g + F.char_length(m))
-    return F.zip_with(running_starts(steps, gaps), found, lambda s, m: F.struct(s.alias("start"), (s + F.char_length(m)).alias("end"), m.alias("value")))
+
+    def placed(found: Column, gaps: Column) -> Column:
+        steps = F.zip_with(gaps, found, lambda g, m: g + F.char_length(m))
+        return F.zip_with(running_starts(steps, gaps), found, lambda s, m: F.struct(s.alias("start"), (s + F.char_length(m)).alias("end"), m.alias("value")))
+
+    cut = lambda found: F.slice(F.transform(F.split(text, pattern, -1), F.char_length), 1, F.size(found))
+    return bound(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: bound(cut(found), lambda gaps: placed(found, gaps)))
 
 
 def _digits(value: Column) -> Column:
@@ -99,11 +106,14 @@ def _terms(text: Column) -> Column:
 
 def _places(text: Column) -> Column:
     """The same words, each time they stand there, as structs (start, end, term)."""
-    gaps, found = F.split(text, PATTERNS["email"], -1), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), 0)
-    steps = F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.coalesce(F.char_length(m), F.lit(0)))
-    starts = running_starts(steps, F.transform(gaps, lambda g: F.lit(0)))
     shifted = lambda g, s: F.transform(matches(g, WORD), lambda m: F.struct((m["start"] + s).alias("start"), (m["end"] + s).alias("end"), F.lower(m["value"]).alias("term")))
-    return F.flatten(F.zip_with(gaps, starts, shifted))
+
+    def placed(gaps: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), 0)
+        steps = F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.coalesce(F.char_length(m), F.lit(0)))
+        return F.flatten(F.zip_with(gaps, running_starts(steps, F.transform(gaps, lambda g: F.lit(0))), shifted))
+
+    return bound(F.split(text, PATTERNS["email"], -1), placed)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
