@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document gets a 60-bit hash of its id.  A source's partial epoch is the set of its documents
+Every document gets a 60-bit hash of its id and text, and rows alike in both one each.  A source's partial epoch is the set of its documents
 whose hash lies under the source's threshold, so that thresholds for smaller budgets select subsets
 of those for larger ones.  The threshold is found level by level: token sums by source and by the next
 12 bits of the hash, the bucket in which the running sum passes the budget, then the same inside that
@@ -27,9 +27,35 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id's decimal text (of the empty text for a null id)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def _bits(text: Column) -> Column:
+    """60 bits of the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id's decimal text (nothing for a null id), a colon and the MD5 of the text (of the empty one for a null text)."""
+    return _bits(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def with_own_hashes(rows: DataFrame) -> DataFrame:
+    """``rows`` (source, h, ...) with hashes of their own where rows of a source share one: of those, numbered from 0, each but number 0 gets 60 bits of ``h:number``.
+
+    Which of the rows gets which number doesn't matter, as they are alike.  Numbers run through parts of a group that lie in different
+    partitions, each counted from where the part before ends, so a group of any size is numbered by many tasks.
+    """
+    keyed = rows.withColumn("source_key", F.md5(F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))))
+    ties = stored(keyed.groupBy("source_key", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "mix-ties")
+    if ties.isEmpty():
+        return rows
+    tied = stored(keyed.join(ties, ["source_key", "h"]).withColumn("at", F.monotonically_increasing_id()), "mix-tied")
+    part = F.shiftright("at", 20)
+    counts = tied.groupBy("source_key", "h", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("source_key", "h").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("source_key", "h", "part").orderBy("at")) - 1
+    numbered = tied.withColumn("part", part).withColumn("inside", inside).join(counts.withColumn("before", before).drop("n"), ["source_key", "h", "part"])
+    number = F.col("before") + F.col("inside")
+    own = numbered.withColumn("h", F.when(number == 0, F.col("h")).otherwise(_bits(F.concat_ws(":", "h", number))))
+    return keyed.join(ties, ["source_key", "h"], "left_anti").select(*rows.columns).unionAll(own.select(*rows.columns))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -85,11 +111,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     """``docs`` (doc_id, text, source) with size, source_size, target, copies and taken = copies * size.
 
     Null or empty texts have size 0 and are never taken but by whole copies (0 words either way).  A null
-    source is a source of its own, last in order.  Rows with one id share its hash and so its lot.  Other columns
+    source is a source of its own, last in order.  Rows that share an id have lots of their own, also where they share the text.  Other columns
     of ``docs`` pass through if named in ``keep``; an empty table gives an empty one.
     """
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"), *(F.col(c) for c in keep or ()))
-    small = stored(sizes.select("doc_id", "source", "size", "h"), "mix-sizes")
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"), *(F.col(c) for c in keep or ()))
+    if keep:
+        sizes = with_own_hashes(sizes)
+        small = stored(sizes.select("doc_id", "source", "size", "h"), "mix-sizes")
+    else:
+        small = with_own_hashes(stored(sizes, "mix-sizes"))
     plan = stored(thresholds(small, source_targets(small, weights, max_epochs)), "mix-plan").withColumnRenamed("source", "s")
     out = (sizes if keep else small).join(plan, F.col("source").eqNullSafe(F.col("s")))
     out = out.withColumn("copies", F.col("epochs") + (F.col("h") <= F.col("threshold")).cast("long"))
@@ -100,7 +130,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     """The mixture itself: the columns of ``docs``, each row as often as the mix takes it (size-0 rows not at all).
 
     (doc_id, text, source) are read; the others pass through, whatever their names.  Null and empty texts have size 0; a null source is a
-    source of its own; rows with one id share its lot; an empty table gives an empty one.
+    source of its own; rows that share an id have lots of their own; an empty table gives an empty one.
     """
     whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole_row"))
     out = mix(whole, weights, max_epochs, keep=["whole_row"])
@@ -108,12 +138,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     return out.select(*(F.col("whole_row").getField(c).alias(c) for c in docs.columns))
 
 
-_HEX = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT"
+_HEX = "('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT"
 SQL = f"""
-WITH RECURSIVE s AS (
+WITH RECURSIVE h0 AS (
   SELECT doc_id, source, {_HEX} AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
+s AS (SELECT doc_id, source, size, CASE WHEN k = 0 THEN h ELSE ('0x' || substr(md5(h || ':' || k), 1, 15))::BIGINT END AS h
+      FROM (SELECT *, row_number() OVER (PARTITION BY source, h) - 1 AS k FROM h0)),
 b AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              1 + (row_number() OVER (ORDER BY source IS NULL, CAST(source AS BLOB)) - 1) % 3 AS w
       FROM s GROUP BY source),
