@@ -7,17 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewise.operators.intervals import covered
+from framewise.operators.motion import motion_regressed, with_regressors
 from framewise.operators.sequence import KEY, block_baseline
 
 
-def trace_view(frames: DataFrame, bad: DataFrame, lo: int, hi: int, block: int, points: int) -> DataFrame:
+def trace_view(frames: DataFrame, bad: DataFrame, lo: int, hi: int, block: int, points: int, regressors: list[str] | None = None, chunk: int = 5000, overlap: int = 0) -> DataFrame:
     """(cell, bin, frame, z): lowest and highest z-score of each bin of ``points`` frames, in order of time.
 
-    Frames outside [lo, hi) aren't read on; bad epochs have no value; the baseline is the smoothed lower percentile of
+    Frames outside [lo, hi) aren't read on; bad epochs have no value; what ``regressors`` of the shifts x and y (``motion.SHIFTS``) explain of a
+    trace is taken off by chunks of frames, if any are named; the baseline is the smoothed lower percentile of
     blocks, taken off before the z-score (population deviation; a flat trace has 1).
     """
     view = frames.where(F.col("frame").between(lo, hi - 1))
     view = covered(view, bad, "__bad").withColumn("v", F.when(~F.col("__bad"), F.col("v")))
+    if regressors:
+        view = motion_regressed(with_regressors(view, "x", "y", KEY), "v", regressors, "__clean", KEY, chunk=chunk, overlap=overlap).withColumn("v", F.col("__clean"))
     based = block_baseline(view, "v", block, 0.2, 3, "__base").withColumn("__d", F.col("v") - F.col("__base"))
     cell = W.partitionBy(KEY)
     sd = F.stddev_pop("__d").over(cell)

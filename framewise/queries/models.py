@@ -153,15 +153,14 @@ def s19_concatenation_edges(spark: SparkSession, d: str) -> DataFrame:
 def s1_raw_movie(spark: SparkSession, d: str) -> DataFrame:
     """The maps written as raw movie files and read back: twenty frames of them."""
     from framewise.scratch import scratch_path
-    from framewise.sources.raw_movies import RawMovies
+    from framewise.sources.raw_movies import register
 
-    spark.dataSource.register(RawMovies)
+    register(spark)
     path = scratch_path(spark, "raw-movie")
     pixel = F.floor((F.col("value") + 8) * 1000).cast("int")
     m = maps(spark, d).groupBy("map_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("iy", "ix", pixel.alias("v")))), lambda p: p["v"]).alias("pixels"))
     zero = F.lit(0).cast("long")
     m.repartitionByRange(8, "map_id").sortWithinPartitions("map_id").select(zero.alias("session"), zero.alias("frame"), zero.alias("at"), "pixels").write.format("raw_movies").option("path", path).mode("append").save()
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     read = spark.read.format("raw_movies").options(paths=path, height=8, width=8).load().where("at between 5 and 24")
     return read.select("at", F.explode("pixels").alias("px")).groupBy("at").agg(F.count(F.lit(1)).alias("pixels"), F.sum("px").alias("total"), F.max("px").cast("long").alias("top"))
 
@@ -169,7 +168,7 @@ def s1_raw_movie(spark: SparkSession, d: str) -> DataFrame:
 # --- motion
 
 
-def _chunks(chunk: int, overlap: int, x: list[str], y: str = "v", fades: bool = True) -> str:
+def chunks_sql(chunk: int, overlap: int, x: list[str], y: str = "v", fades: bool = True) -> str:
     """Chunks of frames of fr and their z-scored regressors z0, z1, ...; c is the value less its mean over known values."""
     stride = chunk - overlap
     last = f"CAST(greatest(ceil((n - {chunk}) / CAST({stride} AS DOUBLE)), 0) AS BIGINT)"
@@ -180,10 +179,12 @@ ch AS (SELECT *, frame - chunk * {stride} AS pos FROM (SELECT cell, frame, {y} A
 zc AS (SELECT cell, frame, chunk, val, {w} AS w, {z}, count(*) OVER k AS rows_, count(val) OVER k AS known, val - avg(val) OVER k AS c FROM ch WINDOW k AS (PARTITION BY cell, chunk))"""
 
 
-ONE = f"SELECT cell, frame, {r('sum(w * (val - CASE WHEN rows_ >= 4 AND known >= 2 THEN coalesce(z0 * s, 0) ELSE 0 END))', 'cleaned')} FROM (SELECT *, sum(z0 * c) OVER k / nullif(sum(CASE WHEN c IS NOT NULL THEN z0 * z0 END) OVER k, 0) AS s FROM zc WINDOW k AS (PARTITION BY cell, chunk)) GROUP BY cell, frame"
+ONE_TERM = "CASE WHEN rows_ >= 4 AND known >= 2 THEN coalesce(z0 * s, 0) ELSE 0 END"
+ONE_FIT = "(SELECT *, sum(z0 * c) OVER k / nullif(sum(CASE WHEN c IS NOT NULL THEN z0 * z0 END) OVER k, 0) AS s FROM zc WINDOW k AS (PARTITION BY cell, chunk))"
+ONE = f"SELECT cell, frame, {r(f'sum(w * (val - {ONE_TERM}))', 'cleaned')} FROM {ONE_FIT} GROUP BY cell, frame"
 
 
-@query(with_tables("fr", ONE, _chunks(30, 10, ["dx"], "vn")))
+@query(with_tables("fr", ONE, chunks_sql(30, 10, ["dx"], "vn")))
 def g25_motion_regression_one(spark: SparkSession, d: str) -> DataFrame:
     fr = V.with_regressors(frames(spark, d), "x", "y", "cell")
     return returned(V.motion_regressed(fr, "vn", ["dx"], "cleaned", "cell", chunk=30, overlap=10), "cell", "frame", "cleaned")
@@ -198,7 +199,7 @@ THREE = f"""SELECT cell, frame, {r('sum(w * (val - CASE WHEN rows_ >= 4 AND know
 GRAM = "ge AS (SELECT cell, chunk, " + ", ".join(f"sum(CASE WHEN c IS NOT NULL THEN z{i} * z{j} END) AS a{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"sum(z{i} * c) AS r{i}" for i in range(3)) + " FROM zc GROUP BY ALL)"
 
 
-@query(with_tables("fr", THREE, _chunks(40, 10, ["dx", "dy", "dx * dy"], "v") + ",\n" + GRAM))
+@query(with_tables("fr", THREE, chunks_sql(40, 10, ["dx", "dy", "dx * dy"], "v") + ",\n" + GRAM))
 def g25_motion_regression(spark: SparkSession, d: str) -> DataFrame:
     fr = V.with_regressors(frames(spark, d), "x", "y", "cell")
     return returned(V.motion_regressed(fr, "v", ["dx", "dy", "dxdy"], "cleaned", "cell", chunk=40, overlap=10), "cell", "frame", "cleaned")

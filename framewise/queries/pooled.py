@@ -15,12 +15,15 @@ from framewise.operators import statistics as T
 from framewise.operators import traces as R
 from framewise.plans.trace_view import trace_view
 from framewise.queries.maps import is_error
+from framewise.queries.models import ONE_FIT, ONE_TERM, chunks_sql
 from framewise.queries.registry import CELL, query, r, with_tables
 from framewise.queries.sequence import BASELINE
 from framewise.streaming.spike_sessions import event_sessions
 
 
-VIEW = f"""vw AS (SELECT cell, frame, CASE WHEN EXISTS (SELECT 1 FROM bu WHERE bu.cell = f.cell AND f.frame BETWEEN lo AND hi) THEN NULL ELSE v END AS vn FROM fr f WHERE frame BETWEEN 4 AND 59),
+VIEW = f"""v0 AS (SELECT cell, frame, x, y, CASE WHEN EXISTS (SELECT 1 FROM bu WHERE bu.cell = f.cell AND f.frame BETWEEN lo AND hi) THEN NULL ELSE v END AS vn FROM fr f WHERE frame BETWEEN 4 AND 59),
+{chunks_sql(30, 10, ["dx"], "vn").replace("FROM fr)", "FROM v0)")},
+vw AS (SELECT cell, frame, sum(w * (val - {ONE_TERM})) AS vn FROM {ONE_FIT} GROUP BY cell, frame),
 {BASELINE.replace("FROM fr f JOIN", "FROM vw f JOIN").replace("FROM fr GROUP", "FROM vw GROUP")},
 de AS (SELECT cell, frame, vn - base AS d FROM ba),
 zs AS (SELECT cell, frame, (frame - 4) // 6 AS bin, (d - avg(d) OVER c) / CASE WHEN stddev_pop(d) OVER c > 0 THEN stddev_pop(d) OVER c ELSE 1 END AS z FROM de WINDOW c AS (PARTITION BY cell)),
@@ -30,7 +33,7 @@ zr AS (SELECT *, row_number() OVER (PARTITION BY cell, bin ORDER BY z, frame) AS
 @query(with_tables("bu", f"SELECT cell, bin, frame, {r('z', 'z')} FROM zr WHERE a = 1 OR b = 1", VIEW))
 def entry_windowed_trace_view(spark: SparkSession, d: str) -> DataFrame:
     fr = frames(spark, d)
-    return returned(trace_view(fr.select("cell", "frame", "v"), bursts(fr).select("cell", "lo", "hi"), 4, 60, 8, 6))
+    return returned(trace_view(fr.select("cell", "frame", "v", "x", "y"), bursts(fr).select("cell", "lo", "hi"), 4, 60, 8, 6, ["dx"], 30, 10))
 
 
 # --- aggregates

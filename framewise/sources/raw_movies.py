@@ -1,7 +1,7 @@
 """Raw camera movies as a data source: frames of unsigned 16-bit pixels one after the other in a file, sessions put one after the other.
 
 Files are read by ranges of bytes, so one file makes as many partitions as it has ranges, and a filter on ``at`` or ``session`` is pushed down
-to the ranges that are read at all.  Register it with ``spark.dataSource.register(RawMovies)``; paths are what ``pyarrow.fs`` opens.
+to the ranges that are read at all.  ``register(spark)`` makes it known; paths are what ``pyarrow.fs`` opens.
 
     spark.read.format("raw_movies").options(paths="a.raw\\nb.raw", height=64, width=128, drop=500).load().where("at between 1000 and 1999")
 """
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SCHEMA = "session long, frame long, at long, pixels array<int>"
@@ -22,6 +23,12 @@ SCHEMA = "session long, frame long, at long, pixels array<int>"
 PARTITION, BATCH = 64 << 20, 4 << 20
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format ``raw_movies`` known to a session, and lets it take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(RawMovies)
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
