@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewise.queries import cells, detectors, intervals, maps, models, pooled, sequence  # noqa: F401
+from framewise.queries import cells, detectors, intervals, maps, models, pooled, pooling, sequence  # noqa: F401
 from framewise.queries.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
