@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from framewise.operators import intervals, models, motion, movies, sequence, spiking, statistics
+from framewise.operators import intervals, models, motion, movies, sequence, signals, spiking, statistics
 
 VARIABLES = [models.Variable("P", "p", (4, 3), 2.0), models.Variable("H", "h", (6,), 3.0, circular=True), models.Variable("S", "s", (3,), 1.0)]
 
@@ -58,6 +58,16 @@ def test_fits_against_a_dense_optimiser(spark):
         assert np.abs(slope).max() < 1e-4
 
 
+def test_circular_tuning_is_a_model_of_one_variable(spark):
+    g = np.random.default_rng(3)
+    frames, spikes = g.integers(0, 40, 12), g.integers(0, 15, 12)
+    df = spark.createDataFrame([(1, b, int(f), int(n)) for b, (f, n) in enumerate(zip(frames, spikes, strict=True))], "cell long, bin long, frames long, spikes long")
+    got = signals.poisson_tuning(df, 12, 0.7).orderBy("bin").toPandas().log_rate
+    want = models.fitted(np.arange(12)[:, None], frames.astype(float), spikes.astype(float), [models.Variable("H", "h", (12,), 0.7, circular=True).penalty()])[0]
+    slope = frames * np.exp(got) - spikes + models.Variable("H", "h", (12,), 0.7, circular=True).penalty() @ got
+    assert np.allclose(got, want, atol=1e-6) and np.abs(slope).max() < 1e-6
+
+
 def test_selection_finds_what_drives_a_cell(spark):
     df = spark.createDataFrame(observed())
     fits = models.fits(df, VARIABLES, "n", "fold", 10)
