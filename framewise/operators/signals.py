@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.operators.sequence import FRAME, KEY, in_blocks, isi_groups, plateau_peaks
+from framewise.operators.sequence import FRAME, KEY, by_cell, in_blocks, isi_groups, plateau_peaks
 
 
 def _filtered(v: np.ndarray, gain) -> np.ndarray:
@@ -57,6 +57,20 @@ def butterworth(df: DataFrame, c: str, out: str, cut: float, kind: str = "high",
     return _by_blocks(df, c, out, gain, max(block, 4 * halo), halo)
 
 
+def guarded_highpass(df: DataFrame, c: str, good: str, out: str, cut: float, guard: int, order: int = 5) -> DataFrame:
+    """(cell, frame, out): runs of ``good`` frames with a value, each high-passed by itself; null in the ``guard`` frames at both ends of a run and outside of runs."""
+    kind = _kind(df)
+    on = df.where(F.col(good) & F.col(c).isNotNull()).select(KEY, FRAME, c)
+    on = on.withColumn("__g", F.col(FRAME) - F.row_number().over(by_cell()))
+    ends = on.groupBy(KEY, "__g").agg(F.min(FRAME).alias("__lo"), F.max(FRAME).alias("__hi"))
+    runs = on.join(ends, [KEY, "__g"]).select(F.concat_ws(":", F.col(KEY).cast("string"), "__lo", "__hi").alias(KEY), (F.col(FRAME) - F.col("__lo")).alias(FRAME), c)
+    part = lambda i: F.split_part(F.col(KEY), F.lit(":"), F.lit(i)).cast("long")
+    inside = (F.col(FRAME) >= guard) & (F.col(FRAME) <= part(3) - part(2) - guard)
+    told = butterworth(runs, c, "__out", cut, "high", order).where(inside)
+    told = told.select(F.split_part(F.col(KEY), F.lit(":"), F.lit(1)).cast(kind).alias(KEY), (F.col(FRAME) + part(2)).alias(FRAME), F.col("__out").alias(out))
+    return df.select(KEY, FRAME).join(told, [KEY, FRAME], "left")
+
+
 def fft_highpass(df: DataFrame, c: str, out: str, cut: float, block: int = 65536, halo: int = 4096) -> DataFrame:
     """Frequencies under ``cut`` taken out whole.
 

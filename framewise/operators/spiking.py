@@ -329,3 +329,23 @@ def complex_bursts(
     ident = found.withColumn("burst", F.struct("lo", "hi", "peak"))
     held = I.count_inside(given, ident.select(KEY, "burst", "lo", "hi"), "burst").where("n > 0").select(KEY, "burst")
     return unsegmented(ident.join(held, [KEY, "burst"]).drop("burst"), size, kind, *columns)
+
+
+def two_rounds(df: DataFrame, c: str, rate: float, seconds: float, median: int, mads: float, simple_mads: float, complex_mads: float, burst_mads: float = 3, least: int = 1) -> DataFrame:
+    """(cell, frame, kind, lo): spikes in two rounds.
+
+    Peaks of the trace less its running median that pass ``mads`` of their segment tell where bursts are (``complex_bursts`` by crossings of ``burst_mads``). In the second
+    round peaks inside of a burst must pass ``complex_mads`` and are complex, with the burst's first frame, where at least ``least`` of them do; peaks outside must
+    pass ``simple_mads`` and are simple.
+    """
+    from framewise.operators.detectors import first_round
+
+    segment, slim = int(seconds * rate), stored(df.select(KEY, FRAME, c), "rounds-trace")
+    first = stored(first_round(slim, c, median, segment, mads).select(KEY, FRAME), "first-round")
+    found = stored(complex_bursts(slim, c, first, rate, seconds, method="crossings", mads=burst_mads).select(KEY, "lo", "hi").withColumn("burst", F.col("lo")).dropDuplicates([KEY, "lo"]), "round-bursts")
+    again = lambda m: stored(first_round(slim, c, median, segment, m).select(KEY, FRAME), "second-round")
+    inside = I.points_inside(again(complex_mads), found, "burst").select(KEY, FRAME, "burst")
+    full = inside.groupBy(KEY, "burst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(KEY, "burst")
+    complex_ = inside.join(full, [KEY, "burst"]).groupBy(KEY, FRAME).agg(F.min("burst").alias("lo")).select(KEY, FRAME, F.lit("complex").alias("kind"), "lo")
+    outside = I.covered(again(simple_mads), found, "__in").where("not __in")
+    return complex_.unionByName(outside.select(KEY, FRAME, F.lit("simple").alias("kind"), F.lit(None).cast("long").alias("lo")))

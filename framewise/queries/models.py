@@ -322,3 +322,15 @@ def g8_complex_bursts(spark: SparkSession, d: str) -> DataFrame:
     fr = frames(spark, d)
     return returned(D.complex_bursts(fr, "v", spikes(fr), 100.0, 0.4, 20, least=2))
 
+
+
+@query()
+def g2_guarded_highpass(spark: SparkSession, d: str) -> DataFrame:
+    from framewise.operators import signals as G
+
+    return returned(G.guarded_highpass(frames(spark, d).withColumn("good", F.col("v") < 400), "v", "good", "filtered", 0.1, 2))
+
+
+@query()
+def g21_two_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return D.two_rounds(frames(spark, d), "v", 100.0, 0.4, 5, 1.5, 2.0, 1.0, burst_mads=1.0)

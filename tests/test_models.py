@@ -355,3 +355,34 @@ def test_planted_bursts_are_found_from_a_raw_trace(spark, method):
     got = spiking.complex_bursts(rows, "v", spikes, rate, 12, method=method, mads=8 if method == "crossings" else 3).toPandas()
     held = [any((got.lo <= t) & (got.hi >= t)) for t in centres]
     assert np.mean(held) >= 0.9 and len(got) <= 1.3 * len(centres) and (got.amplitude > 2).mean() > 0.8 and set(got.segment) == {0, 1}
+
+
+def test_guarded_runs_are_filtered_by_themselves(spark):
+    g = np.random.default_rng(14)
+    v, good = np.cumsum(g.standard_normal(300)), g.random(300) > 0.03
+    rows = [(5, i, float(v[i]), bool(good[i])) for i in range(300)]
+    got = signals.guarded_highpass(spark.createDataFrame(rows, "cell long, frame long, v double, good boolean"), "v", "good", "f", 0.05, 3).orderBy("frame").toPandas().f
+    ratio = lambda f: 1 / (1 + (np.tan(np.pi * np.minimum(f, 0.4999999)) / np.tan(np.pi * 0.05)) ** 10)
+    want, lo = np.full(300, np.nan), 0
+    for i in range(301):
+        if i == 300 or not good[i]:
+            if i > lo:
+                part = signals._filtered(v[lo:i], lambda f: 1 - ratio(f))
+                want[lo + 3 : max(lo + 3, i - 3)] = part[3 : max(3, i - lo - 3)]
+            lo = i + 1
+    assert len(got) == 300 and np.allclose(got, want, equal_nan=True)
+
+
+def test_two_rounds_tell_simple_from_complex(spark):
+    g = np.random.default_rng(15)
+    n, rate = 6000, 500.0
+    v = 0.3 * g.standard_normal(n)
+    bursts, lone = np.arange(500, n - 300, 900), np.arange(900, n - 300, 900)
+    for t in bursts:
+        v[t - 30 : t + 31] += 8 * np.hanning(61)
+        v[[t - 8, t, t + 8]] += 8
+    v[lone] += 9
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "cell long, frame long, v double")
+    got = spiking.two_rounds(df, "v", rate, 12, 21, 5, 6, 4, burst_mads=8).toPandas()
+    complex_, simple = set(got[got.kind == "complex"].frame), set(got[got.kind == "simple"].frame)
+    assert {t for b in bursts for t in (b - 8, b, b + 8)} <= complex_ | simple and set(lone) <= simple and sum(b in complex_ for b in bursts) >= len(bursts) - 1 and not complex_ & simple
