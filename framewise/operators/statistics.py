@@ -151,6 +151,13 @@ def kruskal(df: DataFrame, value: str, group: str, *by: str) -> DataFrame:
     return g.join(n, list(by)).join(tie, list(by)).select(*by, "dof", h.alias("h"))
 
 
+def one_sample(df: DataFrame, value: str, centre: float, *by: str) -> DataFrame:
+    """(by, n, mean, t, p): Student's t of values (or of differences of pairs) against ``centre``; t and p are null under 2 values or without spread."""
+    g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    g = g.withColumn("t", (F.col("mean") - centre) / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0))).withColumn("dof", F.col("n") - 1.0)
+    return g.withColumn("p", F.when(F.col("t").isNotNull(), _p(t_p, "t", "dof"))).select(*by, "n", "mean", "t", "p")
+
+
 def holm(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
     """Step-down: the running maximum of (m - rank + 1) p, at most 1.  A table of tests is small: one row a test."""
     w = W.partitionBy(*by).orderBy(p)

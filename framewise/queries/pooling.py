@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewise.binding import bursts, frames, maps, returned, table
 from framewise.operators import grids as G
 from framewise.operators import pooling as P
+from framewise.operators import statistics as T
 from framewise.queries.registry import query, r, with_tables
 
 POOLED = """ce AS (SELECT CASE WHEN session = 1 THEN 'first' ELSE 'second' END AS dataset, cell, avg(v) AS rate FROM fr GROUP BY ALL),
@@ -64,3 +65,24 @@ def p18_clamped_parameters(spark: SparkSession, d: str) -> DataFrame:
     j = F.when(F.col("event_type") == "view", F.lit(5.0)).otherwise(P.clamped(F.col("event_type"), 7, 0, 50))
     return returned(e.select("event_id", P.clamped(F.get_json_object("props", "$.k"), 5, 10, 60).alias("k"), j.alias("j")))
 
+
+
+@query(with_tables("fr", f"SELECT cell, count(v) AS n, {r('avg(v)', 'mean')}, {r('(avg(v) - 100) / nullif(stddev_samp(v) / sqrt(count(v)), 0)', 't')} FROM fr GROUP BY cell"))
+def m17_one_sample(spark: SparkSession, d: str) -> DataFrame:
+    return returned(T.one_sample(frames(spark, d), "v", 100.0, "cell"), "cell", "n", "mean", "t")
+
+
+@query(with_tables("fr", f"SELECT grp, count(d) AS n, {r('avg(d)', 'mean')}, {r('avg(d) / nullif(stddev_samp(d) / sqrt(count(d)), 0)', 't')} FROM (SELECT cell % 3 AS grp, cell, avg(v) FILTER (session = 2) - avg(v) FILTER (session = 1) AS d FROM fr GROUP BY cell) WHERE d IS NOT NULL GROUP BY grp"))
+def m14_pooled_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions paired by cell, pooled over groups of cells."""
+    of = lambda k: F.avg(F.when(F.col("session") == k, F.col("v")))
+    pairs = frames(spark, d).groupBy("cell").agg((of(2) - of(1)).alias("d")).withColumn("grp", F.col("cell") % 3)
+    return returned(T.one_sample(pairs, "d", 0.0, "grp"), "grp", "n", "mean", "t")
+
+
+@query(with_tables("mp", f"SELECT a.map_id, count(*) AS bins, {r('corr(a.value, b.value)', 'pearson')} FROM mp a JOIN mp b ON b.map_id = a.map_id + 1 AND a.ix = b.ix AND a.iy = b.iy WHERE a.value > -0.1 AND b.value > -0.1 GROUP BY a.map_id HAVING count(*) >= 3"))
+def j20_paired_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of one shape, bin by bin where both have a value."""
+    m = maps(spark, d).where("value > -0.1")
+    pairs = m.select("map_id", "ix", "iy", F.col("value").alias("x")).join(m.select((F.col("map_id") - 1).alias("map_id"), "ix", "iy", F.col("value").alias("y")), ["map_id", "ix", "iy"])
+    return returned(pairs.groupBy("map_id").agg(F.count(F.lit(1)).alias("bins"), F.corr("x", "y").alias("pearson")).where("bins >= 3"))

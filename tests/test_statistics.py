@@ -72,3 +72,13 @@ def test_sources(spark, tmp_path):
     assert sorted(r.v for r in recordings.pooled_summaries(spark, [f"{tmp_path}/p1", f"{tmp_path}/p2"], "f").collect()) == [1, 3]
     done = recordings.job_results(df.select("cell"), spark.createDataFrame([(1, "success")], "cell long, status string"), "cell")
     assert {r.cell: r.status for r in done.collect()} == {1: "success", 2: "missing"}
+
+
+def test_one_sample(spark):
+    g = np.random.default_rng(7)
+    v = g.standard_normal(12) + 0.5
+    rows = [(1, float(x)) for x in v] + [(2, 3.0), (3, 1.0), (3, 1.0), (4, None)]
+    got = {r.k: r for r in T.one_sample(spark.createDataFrame(rows, "k long, v double"), "v", 0.0, "k").collect()}
+    t = v.mean() / (v.std(ddof=1) / np.sqrt(12))
+    assert abs(got[1].t - t) < 1e-9 and abs(got[1].p - T.t_p(t, 11)) < 1e-12 and got[1].n == 12
+    assert got[2].t is None and got[3].t is None and got[3].p is None and 4 not in got
