@@ -19,7 +19,8 @@ def rank_correlation(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """(by, rho): correlation of average ranks of rows that hold both values; null where one of them is constant."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = average_rank(average_rank(both, a, "__ra", *by), b, "__rb", *by)
-    return ranked.groupBy(*by).agg(F.corr("__ra", "__rb").alias("rho"))
+    g = ranked.groupBy(*by).agg(F.covar_pop("__ra", "__rb").alias("__c"), F.var_pop("__ra").alias("__va"), F.var_pop("__rb").alias("__vb"))
+    return g.select(*by, (F.col("__c") / F.nullif(F.sqrt(F.col("__va") * F.col("__vb")), F.lit(0.0))).alias("rho"))
 
 
 def named_condition(c: Column, aliases: dict[str, str]) -> Column:

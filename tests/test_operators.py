@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from framewise.operators import grids, intervals, sequence, signals, statistics
+from framewise.operators import cells, grids, intervals, sequence, signals, statistics
 from framewise.sources import recordings
 from framewise.streaming.spike_sessions import drained, event_sessions
 
@@ -102,3 +102,9 @@ def test_stream_equals_batch(spark, tmp_path):
     got = drained(spark, event_sessions(source, "10 minutes", "1 hour"), "stream").where("user_id < 9")
     want = event_sessions(spark.read.parquet(str(tmp_path / "in")), "10 minutes", "1 hour").where("user_id < 9")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rank_correlation_of_constants_is_null(spark):
+    rows = [(1, 2.0, 1.0), (1, 2.0, 3.0), (1, 2.0, 2.0), (2, 1.0, 5.0), (2, 2.0, 5.0), (3, 1.0, 1.0), (4, 1.0, 3.0), (4, 2.0, 1.0), (4, 3.0, 2.0)]
+    got = {r.k: r.rho for r in cells.rank_correlation(spark.createDataFrame(rows, "k long, a double, b double"), "a", "b", "k").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: -0.5}
