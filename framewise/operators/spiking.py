@@ -171,11 +171,11 @@ def refined_spikes(df: DataFrame, c: str, spikes: DataFrame | None, size: int, i
     return unsegmented(peaks.join(heights.select(KEY, "height", "few"), KEY).where("filtered >= height"), size, kind, FRAME)
 
 
-def simple_spikes(df: DataFrame, c: str, size: int, mads: float) -> DataFrame:
-    """(cell, segment, frame, value, height): peaks of each segment that reach its median and ``mads`` (unscaled) median absolute deviations."""
+def simple_spikes(df: DataFrame, c: str, size: int, mads: float, flat: bool = True) -> DataFrame:
+    """(cell, segment, frame, value, height): peaks of each segment that reach its median and ``mads`` (unscaled) median absolute deviations; equal values in a row may be a peak, if ``flat``."""
     kind = df.schema[KEY].dataType.simpleString()
     trace = interpolated(segmented(df.select(KEY, FRAME, c), size), c, "value").select(KEY, FRAME, "value").where("value is not null")
-    return unsegmented(plateau_peaks(trace, "value", float("-inf")).join(_mad_heights(trace, "value", mads), KEY).where("value >= height"), size, kind, FRAME)
+    return unsegmented(plateau_peaks(trace, "value", float("-inf"), flat).join(_mad_heights(trace, "value", mads), KEY).where("value >= height"), size, kind, FRAME)
 
 
 def _mad_heights(trace: DataFrame, c: str, mads: float) -> DataFrame:

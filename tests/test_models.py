@@ -386,3 +386,26 @@ def test_two_rounds_tell_simple_from_complex(spark):
     got = spiking.two_rounds(df, "v", rate, 12, 21, 5, 6, 4, burst_mads=8).toPandas()
     complex_, simple = set(got[got.kind == "complex"].frame), set(got[got.kind == "simple"].frame)
     assert {t for b in bursts for t in (b - 8, b, b + 8)} <= complex_ | simple and set(lone) <= simple and sum(b in complex_ for b in bursts) >= len(bursts) - 1 and not complex_ & simple
+
+
+def _events(spark, folder, values):
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", 1, "view", float(v), '{"k": 3}') for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.to_timestamp_ntz("ts")).coalesce(1).write.parquet(f"{folder}/wide")
+    (part,) = [p for p in folder.joinpath("wide").iterdir() if p.suffix == ".parquet"]
+    part.rename(folder / "events.parquet")
+    return str(folder)
+
+
+#: Two equal values in a row over both heights, then single peaks.
+FLAT = [10, 200, 200, 10, 10, 300, 10, 20, 10, 12, 11, 250, 240, 10, 9, 8, 7, 180, 6, 5]
+
+
+@pytest.mark.parametrize("name", ["g7_simple_refinement"])
+def test_equal_neighbours_are_no_peaks_of_the_sql(spark, tmp_path, name):
+    from __spark_entry__ import oracle_sql, queries
+    from tests.compare import rows, sql_rows
+
+    d = _events(spark, tmp_path, FLAT)
+    want = rows(sql_rows(d, oracle_sql()[name]))
+    assert want and rows(queries()[name](spark, d).toPandas()) == want
