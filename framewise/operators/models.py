@@ -11,12 +11,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewise.operators.statistics import wilcoxon_greater_p
+from framewise.scratch import stored
 
 #: The fold number of the fit to all observations.
 ALL = -1
@@ -110,27 +111,113 @@ def fitted(bins: np.ndarray, n: np.ndarray, spikes: np.ndarray, penalties: list[
     return [theta[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
 
 
+def fitted_many(fit: np.ndarray, bins: np.ndarray, n: np.ndarray, spikes: np.ndarray, penalties: list[np.ndarray], count: int, steps: int = 100) -> np.ndarray:
+    """``fitted`` for ``count`` fits of one model at once, a row of parameters each; ``fit`` says whose a row of ``bins``, ``n`` and ``spikes`` is.
+
+    Each fit takes its own steps and stops by itself; rows of one fit may share their bins.
+    """
+    at = np.cumsum([0, *(len(p) for p in penalties)])
+    size = int(at[-1])
+    rough = np.zeros((size, size))
+    for lo, hi, p in zip(at, at[1:], penalties, strict=False):
+        rough[lo:hi, lo:hi] = p
+    rough += 1e-9 * np.eye(size)
+    theta = np.zeros((count, size))
+    theta[:, : at[1]] = np.log(np.maximum(np.bincount(fit, spikes, count), 0.5) / np.maximum(np.bincount(fit, n, count), 1))[:, None]
+    columns = bins + at[:-1]
+    open_, now = np.arange(count), np.full(count, np.nan)
+
+    def value(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = np.clip(t[fit[:, None], columns].sum(axis=1), -LIMIT, LIMIT)
+        mean = n * np.exp(u)
+        return np.bincount(fit, mean - spikes * u, len(t)) + 0.5 * (np.einsum("fi,ij->fj", t, rough) * t).sum(axis=1), mean
+
+    now, mean = value(theta)
+    t = theta.copy()
+    for _ in range(steps):
+        if not len(open_):
+            break
+        own, width = len(open_), columns.shape[1]
+        gradient = np.bincount((fit[:, None] * size + columns).reshape(-1), np.repeat(mean - spikes, width), own * size).reshape(own, size) + np.einsum("fi,ij->fj", t, rough)
+        pairs = fit[:, None, None] * (size * size) + columns[:, :, None] * size + columns[:, None, :]
+        hessian = np.bincount(pairs.reshape(-1), np.repeat(mean, width * width), own * size * size).reshape(own, size, size) + rough
+        step = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+        gain = (gradient * step).sum(axis=1)
+        scale, settled = np.ones(own), np.zeros(own, bool)
+        then, its_mean = value(t - step)
+        while True:
+            settled |= then <= now - 0.25 * scale * gain
+            short = ~settled & (scale > 1e-8)
+            if not short.any():
+                break
+            scale[short] /= 2
+            short &= scale > 1e-8
+            if not short.any():
+                break
+            then, its_mean = value(t - scale[:, None] * step)
+        moved = np.where(settled[:, None], scale[:, None] * step, 0.0)
+        t = t - moved
+        now = np.where(settled, then, now)
+        mean = np.where(settled[fit], its_mean, mean)
+        done = ~settled | (gain < 1e-18 * np.maximum(1.0, np.abs(now))) | (np.abs(moved).max(axis=1) < 1e-12)
+        theta[open_] = t
+        if done.any():
+            keep = ~done
+            rows = keep[fit]
+            new = np.cumsum(keep) - 1
+            fit, columns, n, spikes, mean = new[fit[rows]], columns[rows], n[rows], spikes[rows], mean[rows]
+            t, now, open_ = t[keep], now[keep], open_[keep]
+    return theta
+
+
+#: Cells that are fitted at once.
+CELLS_AT_ONCE = 128
+
+
 def fits(obs: DataFrame, variables: list[Variable], count: str, fold: str | None, folds: int, key: str = "cell") -> DataFrame:
     """(cell, fold, model, theta): parameters of each variable (arrays in the order of the model's letters), fitted to the observations outside of each fold, and to all (fold -1).
 
     Observations without a bin of some variable don't count; ``fold`` names a column with 0 to ``folds`` - 1 (None: the fit to all only).
+    Counts by fold and joint bin are enough for all models and folds.  A cell's are one row of arrays, so rows are dealt over tasks, and a task
+    fits some CELLS_AT_ONCE cells together, model by model.
     """
-    held = obs.withColumn("__fold", F.col(fold).cast("long") if fold else F.lit(0).cast("long"))
-    counts = bin_counts(held, variables, count, key, "__fold")
-    out_of = F.array(*(F.lit(k).cast("long") for k in ([*range(folds)] if fold else []) + [ALL]))
     columns = [v.column for v in variables]
-    train = counts.withColumn("fold", F.explode(out_of)).where("fold != __fold").groupBy(key, "fold", "model", *columns).agg(F.sum("n").alias("n"), F.sum("spikes").alias("spikes"))
-    penalties = {v.letter: v.penalty() for v in variables}
-    of = {v.letter: v.column for v in variables}
-    kind = dict(obs.dtypes)[key]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = pdf.model.iloc[0]
-        bins = pdf[[of[x] for x in model]].to_numpy(np.int64)
-        theta = fitted(bins, pdf.n.to_numpy(float), pdf.spikes.to_numpy(float), [penalties[x] for x in model])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "fold": [pdf.fold.iloc[0]], "model": [model], "theta": [[list(t) for t in theta]]})
-
-    return train.groupBy(key, "fold", "model").applyInPandas(fit, f"{key} {kind}, fold long, model string, theta array<array<double>>")
+    whole = obs.where(" and ".join(f"{c} is not null" for c in columns)).withColumn("__fold", F.col(fold).cast("long") if fold else F.lit(0).cast("long"))
+    counts = whole.groupBy(key, "__fold", *columns).agg(F.count(F.lit(1)).alias("n"), F.sum(count).cast("double").alias("spikes"))
+    packed = counts.groupBy(key).agg(F.collect_list(F.struct("__fold", *(F.col(c).cast("long").alias(c) for c in columns), "n", "spikes")).alias("__of"))
+    out_of = ([*range(folds)] if fold else []) + [ALL]
+    sets = {name: [i for i, v in enumerate(variables) if v.letter in name] for name in model_names(variables)}
+    penalties = [v.penalty() for v in variables]
+    ends = {name: np.cumsum([0, *(variables[i].bins for i in some)]) for name, some in sets.items()}
+    kind = obs.schema[key].dataType.simpleString()
+
+    def fit_some(part: pa.RecordBatch) -> pa.RecordBatch:
+        of = part.column(1)
+        held, *bins, n, spikes = (of.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(len(columns) + 3))
+        bins, own = np.stack(bins, axis=1).astype(np.int64), np.repeat(np.arange(len(part)), of.value_lengths().to_numpy(zero_copy_only=False))
+        #: A fit is a cell and a fold that is left out; its rows are those of the cell's other folds.
+        row, left = np.nonzero(held[:, None] != np.array(out_of)[None, :])
+        pair = own[row] * len(out_of) + left
+        some, fit = np.unique(pair, return_inverse=True)
+        out = {key: [], "fold": [], "model": [], "theta": []}
+        for name, chosen in sets.items():
+            #: Summed by the model's own bins, in their order, so that folds alike in these are fitted alike to the last digit.
+            shape = [variables[i].bins for i in chosen]
+            code, where = np.unique(fit * int(np.prod(shape)) + np.ravel_multi_index(bins[row][:, chosen].T, shape), return_inverse=True)
+            whose, own_bins = code // int(np.prod(shape)), np.stack(np.unravel_index(code % int(np.prod(shape)), shape), axis=1)
+            theta = fitted_many(whose, own_bins, np.bincount(where, n[row].astype(float)), np.bincount(where, spikes[row].astype(float)), [penalties[i] for i in chosen], len(some))
+            out[key].append(part.column(0).take(pa.array(some // len(out_of))))
+            out["fold"].append(pa.array(np.array(out_of)[some % len(out_of)], pa.int64()))
+            out["model"].append(pa.array([name] * len(some), pa.string()))
+            out["theta"].append(pa.array([[t[lo:hi] for lo, hi in zip(ends[name], ends[name][1:], strict=False)] for t in theta], pa.list_(pa.list_(pa.float64()))))
+        return pa.record_batch([pa.concat_arrays(x) for x in out.values()], names=list(out))
+
+    def run(parts):
+        for part in parts:
+            for i in range(0, len(part), CELLS_AT_ONCE):
+                yield fit_some(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(i, CELLS_AT_ONCE)]) for c in part.columns], names=part.schema.names))
+
+    return packed.mapInArrow(run, f"{key} {kind}, fold long, model string, theta array<array<double>>")
 
 
 def _exponent(variables: list[Variable], model: str, theta: Column, without: str = "") -> Column:
@@ -206,27 +293,38 @@ def forward_selection(metrics: DataFrame, variables: list[Variable], alpha: floa
     if len(letters) != 3:
         raise ValueError("forward selection takes three variables")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="fold", columns="model", values="llh_bits_spike").reindex(columns=model_names(variables))
-        return pd.DataFrame([[pdf[key].iloc[0], *selected_model({m: wide[m].to_numpy(float) for m in wide}, letters, alpha, baseline)]], columns=[key, "single", "double", "p_12", "p_23", "baseline_p", "selected"])
+    names = model_names(variables)
+
+    def choose(parts):
+        for part in parts:
+            got = []
+            for folds in part.column(1).to_pylist():
+                at = {f: i for i, f in enumerate(sorted({x["fold"] for x in folds}))}
+                wide = {m: np.full(len(at), np.nan) for m in names}
+                for x in folds:
+                    if x["llh_bits_spike"] is not None:
+                        wide[x["model"]][at[x["fold"]]] = x["llh_bits_spike"]
+                got.append(selected_model(wide, letters, alpha, baseline))
+            text, number = pa.string(), pa.float64()
+            yield pa.record_batch([part.column(0), *(pa.array([g[i] for g in got], t, from_pandas=t is number) for i, t in enumerate((text, text, number, number, number, text)))], names=[key, "single", "double", "p_12", "p_23", "baseline_p", "selected"])
 
-    return metrics.where(F.col("fold") != ALL).select(key, "fold", "model", "llh_bits_spike").groupBy(key).applyInPandas(choose, f"{key} {kind}, single string, double string, p_12 double, p_23 double, baseline_p double, selected string")
+    of = metrics.where(F.col("fold") != ALL).groupBy(key).agg(F.collect_list(F.struct("fold", "model", "llh_bits_spike")).alias("__of"))
+    return of.mapInArrow(choose, f"{key} {kind}, single string, double string, p_12 double, p_23 double, baseline_p double, selected string")
 
 
 def profiles(obs: DataFrame, models: DataFrame, variables: list[Variable], count: str, dt: float, key: str = "cell") -> DataFrame:
     """(cell, model, variable, bin, rate): the mean rate over all observations if they all had this bin, by the fits to all observations; of variables outside a model the mean rate."""
-    joint = bin_counts(obs, variables, count, key).where(F.col("model") == "".join(v.letter for v in variables)).drop("model")
-    both = joint.join(models.where(F.col("fold") == ALL).select(key, "model", "theta"), key)
-    rows = []
-    for m in model_names(variables):
-        rest = [F.struct(F.lit(v.letter).alias("variable"), F.exp(_exponent(variables, m, F.col("theta"), v.letter)).alias("rest")) for v in variables]
-        of_bin = F.create_map(*(x for v in variables for x in (F.lit(v.letter), F.element_at("theta", m.index(v.letter) + 1) if v.letter in m else F.array_repeat(F.lit(0.0), v.bins))))
-        g = both.where(F.col("model") == m).withColumn("r", F.explode(F.array(*rest))).groupBy(key, "model", "r.variable").agg((F.sum(F.col("n") * F.col("r.rest")) / F.sum("n") / dt).alias("mean"), F.first(of_bin).alias("of_bin"))
-        rows.append(g.select(key, "model", "variable", "mean", F.posexplode(F.col("of_bin")[F.col("variable")]).alias("bin", "u")).select(key, "model", "variable", F.col("bin").cast("long").alias("bin"), (F.col("mean") * F.exp("u")).alias("rate")))
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    columns = [v.column for v in variables]
+    joint = obs.where(" and ".join(f"{c} is not null" for c in columns)).groupBy(key, *columns).agg(F.count(F.lit(1)).alias("n"))
+    names = model_names(variables)
+    #: A written table, as the fits are read for the means and for the rates.
+    theta = stored(models.where(F.col("fold") == ALL).groupBy(key).agg(*(F.max(F.when(F.col("model") == m, F.col("theta"))).alias(f"__{m}") for m in names)), "profile-fits")
+    mean = lambda m, v: (F.sum(F.col("n") * F.exp(_exponent(variables, m, F.col(f"__{m}"), v.letter))) / F.sum("n") / dt).alias(f"__{m}_{v.letter}")
+    means = joint.join(theta, key).groupBy(key).agg(*(mean(m, v) for m in names for v in variables))
+    of_bin = lambda m, v: F.element_at(f"__{m}", m.index(v.letter) + 1) if v.letter in m else F.array_repeat(F.lit(0.0), v.bins)
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(v.letter).alias("variable"), F.col(f"__{m}_{v.letter}").alias("mean"), of_bin(m, v).alias("u")) for m in names for v in variables)))
+    told = means.join(theta, key).select(key, each.alias("__e")).where("__e.u is not null")
+    return told.select(key, "__e.model", "__e.variable", "__e.mean", F.posexplode("__e.u").alias("bin", "u")).select(key, "model", "variable", F.col("bin").cast("long").alias("bin"), (F.col("mean") * F.exp("u")).alias("rate"))
 
 
 def roughness(maps: DataFrame, value: str, *by: str, column: str = "ix", row: str = "iy", circular: bool = False) -> DataFrame:

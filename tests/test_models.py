@@ -1,5 +1,6 @@
 """Models, movies, motion and detectors against dense or looping Python."""
 
+import time
 from itertools import product
 
 import numpy as np
@@ -409,3 +410,18 @@ def test_equal_neighbours_are_no_peaks_of_the_sql(spark, tmp_path, name):
     d = _events(spark, tmp_path, FLAT)
     want = rows(sql_rows(d, oracle_sql()[name]))
     assert want and rows(queries()[name](spark, d).toPandas()) == want
+
+
+def test_many_cells_are_fitted_together(spark):
+    """A cell and a fold were a task's group each before: these fits took over a minute."""
+    pdf = observed(n=60, cells=1)
+    df = spark.createDataFrame(pdf).crossJoin(spark.range(400).withColumnRenamed("id", "k")).withColumn("cell", F.col("k")).drop("k")
+    began = time.time()
+    got = models.fits(df, VARIABLES, "n", "fold", 10).toPandas()
+    assert time.time() - began < 40 and len(got) == 400 * 11 * 7
+    train = pdf[pdf.fold != 3]
+    want = models.fitted(train[["p", "h"]].to_numpy(np.int64), np.ones(len(train)), train.n.to_numpy(float), [v.penalty() for v in VARIABLES[:2]])
+    for cell in (0, 399):
+        (theta,) = got[(got.cell == cell) & (got.fold == 3) & (got.model == "PH")].theta
+        total = np.array(theta[0])[:, None] + np.array(theta[1])[None, :]
+        assert total == pytest.approx(want[0][:, None] + want[1][None, :], abs=1e-6)
