@@ -125,26 +125,32 @@ def flat_fielded(movie: DataFrame, pattern: DataFrame, value: str, key: str, out
 def grouped_regions(regions: DataFrame, key: str, ident: str, distance: float) -> DataFrame:
     """``regions`` (key, ident, cy, cx) with leader: greedy groups in order of ident, each region in the group of the first leader at most ``distance`` away, or a leader itself.
 
-    Neighbours meet over cells of a grid as wide as the distance, not in a cross join.  A region is decided as soon as all earlier
-    neighbours are: it leads if none of them leads, else it follows the first that does; each round is a written table.
+    Neighbours meet over cells of a grid as wide as the distance, not in a cross join, each pair once: a region goes to its own cell and the four ahead
+    of it.  A region leads as soon as no earlier neighbour is open or leads, and follows once one leads; pairs with a decided region go, so each round's
+    written table is smaller than the last one's.  Whom a region follows is looked up once all leaders are known.
     """
-    side = lambda c: F.explode(F.array(*(F.col(c) + i for i in (-1, 0, 1))))
     cell = lambda c: F.floor(F.col(c) / distance).cast("long")
     own = regions.select(key, ident, "cy", "cx", cell("cy").alias("gy"), cell("cx").alias("gx"))
-    spread = own.select(key, F.col(ident).alias("__to"), F.col("cy").alias("__y"), F.col("cx").alias("__x"), side("gy").alias("gy"), "gx")
-    spread = spread.select(key, "__to", "__y", "__x", "gy", side("gx").alias("gx"))
-    near = own.join(spread, [key, "gy", "gx"]).where((F.col("__to") < F.col(ident)) & (F.hypot(F.col("cy") - F.col("__y"), F.col("cx") - F.col("__x")) <= distance))
-    near = stored(near.select(key, ident, "__to"), "near-regions")
-    state = stored(regions.select(key, ident).join(near.select(key, ident).distinct().withColumn("__has", F.lit(True)), [key, ident], "left").select(key, ident, F.when(F.col("__has").isNull(), F.col(ident)).alias("leader")), "leaders")
-    while not state.where("leader is null").isEmpty():
-        before = near.join(state.select(key, F.col(ident).alias("__to"), F.col("leader").alias("__l")), [key, "__to"])
-        told = before.groupBy(key, ident).agg(
-            F.min(F.when(F.col("__l") == F.col("__to"), F.col("__to"))).alias("__first"), F.min(F.when(F.col("__l").isNull(), F.col("__to"))).alias("__open")
-        )
-        # the first leader before any undecided neighbour is final; without undecided ones the region is decided
-        leader = F.when(F.col("__first").isNotNull() & (F.col("__open").isNull() | (F.col("__first") < F.col("__open"))), F.col("__first")).when(F.col("__open").isNull(), F.col(ident))
-        state = stored(state.join(told, [key, ident], "left").select(key, ident, F.coalesce("leader", leader).alias("leader")), "leaders")
-    return regions.join(state, [key, ident])
+    ahead = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)))))
+    spread = own.select(key, F.col(ident).alias("__b"), F.col("cy").alias("__y"), F.col("cx").alias("__x"), "gy", "gx", ahead.alias("__s"))
+    spread = spread.select(key, "__b", "__y", "__x", (F.col("gy") + F.col("__s.dy")).alias("gy"), (F.col("gx") + F.col("__s.dx")).alias("gx"), ((F.col("__s.dy") == 0) & (F.col("__s.dx") == 0)).alias("__same"))
+    #: Pairs in one cell are met twice and kept once.
+    met = own.join(spread, [key, "gy", "gx"]).where((F.hypot(F.col("cy") - F.col("__y"), F.col("cx") - F.col("__x")) <= distance) & (F.col("__b") != F.col(ident)) & (~F.col("__same") | (F.col("__b") < F.col(ident))))
+    near = stored(met.select(key, F.greatest(ident, "__b").alias(ident), F.least(ident, "__b").alias("__to")), "near-regions")
+    leaders = stored(regions.select(key, ident).join(near.select(key, ident).distinct(), [key, ident], "left_anti"), "leaders")
+    new, open_ = leaders, near
+    while True:
+        heads = new.select(key, F.col(ident).alias("__to"))
+        follow = stored(open_.join(heads, [key, "__to"], "left_semi").select(key, ident).distinct(), "followers")
+        left = open_.join(follow, [key, ident], "left_anti")
+        rest = stored(left.join(follow.select(key, F.col(ident).alias("__to")), [key, "__to"], "left_anti"), "open-regions")
+        #: Open regions whose earlier neighbours all follow lead.
+        new = stored(left.select(key, ident).distinct().join(rest.select(key, ident).distinct(), [key, ident], "left_anti"), "leaders")
+        if new.isEmpty():
+            break
+        leaders, open_ = leaders.unionByName(new), rest
+    first = near.join(leaders.select(key, F.col(ident).alias("__to")), [key, "__to"]).join(leaders, [key, ident], "left_anti").groupBy(key, ident).agg(F.min("__to").alias("leader"))
+    return regions.join(first.unionByName(leaders.select(key, ident, F.col(ident).alias("leader"))), [key, ident])
 
 
 def neighbour_filled(m: DataFrame, value: str, key: str, n: tuple[int, int]) -> DataFrame:

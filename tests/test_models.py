@@ -425,3 +425,24 @@ def test_many_cells_are_fitted_together(spark):
         (theta,) = got[(got.cell == cell) & (got.fold == 3) & (got.model == "PH")].theta
         total = np.array(theta[0])[:, None] + np.array(theta[1])[None, :]
         assert total == pytest.approx(want[0][:, None] + want[1][None, :], abs=1e-6)
+
+
+def test_rounds_of_grouping_write_open_regions_only(spark, monkeypatch):
+    """Each round wrote all regions before."""
+    g = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": 0, "i": np.arange(400), "cy": g.random(400) * 20, "cx": g.random(400) * 20})
+    written, keep = [], movies.stored
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        written.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(movies, "stored", counted)
+    got = {r.i: r.leader for r in movies.grouped_regions(spark.createDataFrame(pdf), "k", "i", 2.0).collect()}
+    leaders, want = [], {}
+    for r in pdf.itertuples():
+        want[r.i] = next((j for j in leaders if np.hypot(pdf.cy[j] - r.cy, pdf.cx[j] - r.cx) <= 2.0), r.i)
+        leaders += [r.i] * (want[r.i] == r.i)
+    assert got == want
+    assert sum(n for tag, n in written if tag == "leaders") == len(leaders)
