@@ -89,9 +89,46 @@ def coarse_events(movie: DataFrame, value: str, key: str, sds: float, least: int
     return component_peaks(components(on, "__on", key, chunk), value, key, least, chunk)
 
 
+#: Accuracy of the sketch that brackets a percentile, and its bracket's half width in shares of the rows.
+SKETCH, BRACKET = 10000, 0.001
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """(by, a column of each name): exact percentiles of the known values (null without any), on the line between the two ranks around the share.
+
+    A sketch brackets each percentile by two values of the group.  Rows below the bracket are counted, distinct values inside of it are
+    counted one by one and ordered, so no task holds a group's values.  Where a rank lies beyond its bracket, the bracket is widened, at last to all values.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    names, width, found, todo = list(shares), BRACKET, None, None
+    while True:
+        at = lambda q: F.percentile_approx("__v", F.lit(min(max(q, 0.0), 1.0)), F.lit(SKETCH))
+        ends = [(at(q - width) if q > width else F.min("__v")).alias(f"__lo{i}") for i, q in enumerate(shares.values())] + [(at(q + width) if q + width < 1 else F.max("__v")).alias(f"__hi{i}") for i, q in enumerate(shares.values())]
+        part = known if todo is None else known.join(todo, list(by))
+        brackets = stored(part.groupBy(*by).agg(*ends, F.count(F.lit(1)).alias("__n")), "brackets")
+        low = stored(part.join(brackets, list(by)).groupBy(*by).agg(*(F.sum((F.col("__v") < F.col(f"__lo{i}")).cast("long")).alias(f"__b{i}") for i in range(len(names)))), "below-brackets")
+        inside = part.join(brackets, list(by)).select(*by, "__v", F.explode(F.array(*(F.when(F.col("__v").between(F.col(f"__lo{i}"), F.col(f"__hi{i}")), F.lit(i)) for i in range(len(names))))).alias("__i")).where("__i is not null")
+        counts = inside.groupBy(*by, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
+        upto = F.sum("__c").over(W.partitionBy(*by, "__i").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+        of = F.element_at(F.array(*(F.col(f"__b{i}") for i in range(len(names)))), F.col("__i") + 1)
+        share = F.element_at(F.array(*(F.lit(float(q)) for q in shares.values())), F.col("__i") + 1)
+        ranked = counts.join(brackets.select(*by, "__n").join(low, list(by)), list(by)).withColumn("__to", upto + of).withColumn("__rank", share * (F.col("__n") - 1))
+        #: The first value that reaches rank floor(r), and rank ceil(r), counted from 0.
+        reach = lambda r: F.min(F.when(F.col("__to") > r("__rank"), F.col("__v")))
+        told = ranked.groupBy(*by, "__i").agg(reach(F.floor).alias("__a"), reach(F.ceil).alias("__z"), F.first("__rank").alias("__rank"), F.min(F.col("__to") - F.col("__c")).alias("__from"))
+        value_ = F.when(F.col("__from") <= F.floor("__rank"), F.when(F.col("__a") == F.col("__z"), F.col("__a")).otherwise(F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("__rank") - F.floor("__rank"))))
+        got = stored(told.groupBy(*by).agg(*(F.max(F.when(F.col("__i") == i, value_)).alias(n) for i, n in enumerate(names))), "percentiles")
+        whole = " and ".join(f"{n} is not null" for n in names)
+        found = got.where(whole) if found is None else found.unionByName(got.where(whole))
+        todo = got.where(f"not ({whole})").select(*by)
+        if width >= 1 or todo.isEmpty():
+            return df.select(*by).distinct().join(found, list(by), "left")
+        width *= 32
+
+
 def static_pattern(movie: DataFrame, value: str, key: str, q: float = 0.5) -> DataFrame:
     """(key, y, x, pattern): the percentile of each pixel over time."""
-    return movie.groupBy(key, "y", "x").agg(F.percentile(value, q).alias("pattern"))
+    return exact_percentiles(movie, value, {"pattern": q}, key, "y", "x")
 
 
 def drift(movie: DataFrame, pattern: DataFrame, value: str, key: str, rounds: int = 0, scale: float = 1.0) -> DataFrame:
@@ -180,7 +217,7 @@ def neighbour_filled(m: DataFrame, value: str, key: str, n: tuple[int, int]) ->
 
 def display_range(movie: DataFrame, value: str, key: str, low: float, high: float, top: int = 65535) -> DataFrame:
     """``movie`` with shown: values between two percentiles of the movie stretched to 0 to ``top``, whole numbers."""
-    ends = movie.groupBy(key).agg(F.percentile(value, low).alias("__lo"), F.percentile(value, high).alias("__hi"))
+    ends = exact_percentiles(movie, value, {"__lo": low, "__hi": high}, key)
     share = F.when(F.col("__hi") > F.col("__lo"), (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))
     return movie.join(ends, key).withColumn("shown", F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * top).cast("long")).drop("__lo", "__hi")
 

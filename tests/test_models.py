@@ -446,3 +446,14 @@ def test_rounds_of_grouping_write_open_regions_only(spark, monkeypatch):
         leaders += [r.i] * (want[r.i] == r.i)
     assert got == want
     assert sum(n for tag, n in written if tag == "leaders") == len(leaders)
+
+
+@pytest.mark.parametrize("width", [0.001, 1e-9])
+def test_exact_percentiles_by_brackets(spark, monkeypatch, width):
+    """Also where brackets are too narrow at first, and where one value is most of a group."""
+    monkeypatch.setattr(movies, "BRACKET", width)
+    g = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": np.repeat([1, 2, 3], [5000, 4000, 1]), "v": np.concatenate((g.standard_normal(5000), np.minimum(g.integers(0, 3000, 4000), 700), [4.5]))})
+    got = {r.k: (r.a, r.b, r.c) for r in movies.exact_percentiles(spark.createDataFrame(pdf), "v", {"a": 0.01, "b": 0.5, "c": 0.99}, "k").collect()}
+    want = {k: tuple(np.quantile(x, [0.01, 0.5, 0.99])) for k, x in pdf.groupby("k").v}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
