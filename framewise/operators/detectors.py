@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framewise.operators import intervals as I
 from framewise.operators.sequence import FRAME, KEY, by_cell, interpolated, local_peaks, median_edge
+from framewise.scratch import stored
 
 
 def subthreshold(df: DataFrame, c: str, spikes: DataFrame, k: int, out: str, blank: int = 1) -> DataFrame:
@@ -22,11 +23,15 @@ def subthreshold(df: DataFrame, c: str, spikes: DataFrame, k: int, out: str, bla
 
 def segment_thresholds(df: DataFrame, c: str, segment: int, mads: float) -> DataFrame:
     """(cell, segment, height): median and ``mads`` scaled median absolute deviations of each segment of frames."""
+    s = _segment_spread(df, c, segment)
+    return s.select(KEY, "segment", (F.col("__m") + mads * 1.4826 * F.col("__d")).alias("height"))
+
+
+def _segment_spread(df: DataFrame, c: str, segment: int) -> DataFrame:
     at = F.floor(F.col(FRAME) / segment).cast("long")
     s = df.where(F.col(c).isNotNull()).select(KEY, at.alias("segment"), c)
     mid = F.expr(f"percentile({c}, 0.5)").over(W.partitionBy(KEY, "segment"))
-    s = s.withColumn("__m", mid).groupBy(KEY, "segment").agg(F.first("__m").alias("__m"), F.percentile(F.abs(F.col(c) - F.col("__m")), 0.5).alias("__d"))
-    return s.select(KEY, "segment", (F.col("__m") + mads * 1.4826 * F.col("__d")).alias("height"))
+    return s.withColumn("__m", mid).groupBy(KEY, "segment").agg(F.first("__m").alias("__m"), F.percentile(F.abs(F.col(c) - F.col("__m")), 0.5).alias("__d"))
 
 
 def first_round(df: DataFrame, c: str, k: int, segment: int, mads: float) -> DataFrame:
@@ -36,6 +41,14 @@ def first_round(df: DataFrame, c: str, k: int, segment: int, mads: float) -> Dat
     return peaks.join(segment_thresholds(flat, "detrended", segment, mads), [KEY, "segment"]).where("detrended > height").select(KEY, FRAME, "detrended")
 
 
+def scored_peaks(df: DataFrame, c: str, k: int, segment: int, rounds: dict[str, float]) -> DataFrame:
+    """(cell, frame, a flag of each name in ``rounds``): the peaks of ``first_round`` at several numbers of deviations, out of one running median."""
+    flat = stored(median_edge(df.select(KEY, FRAME, c), c, k, "__base").join(df.select(KEY, FRAME, F.col(c).alias("__v")), [KEY, FRAME]).select(KEY, FRAME, (F.col("__v") - F.col("__base")).alias("detrended")), "detrended")
+    peaks = local_peaks(flat, "detrended", float("-inf")).withColumn("segment", F.floor(F.col(FRAME) / segment).cast("long"))
+    passed = [(F.col("detrended") > F.col("__m") + m * 1.4826 * F.col("__d")).alias(name) for name, m in rounds.items()]
+    return peaks.join(_segment_spread(flat, "detrended", segment), [KEY, "segment"]).select(KEY, FRAME, *passed).where(" or ".join(rounds))
+
+
 def onsets(df: DataFrame, c: str, windows: DataFrame, level: float, ident: str = "burst") -> DataFrame:
     """(cell, ident, steepest, onset): the frame of the steepest rise inside of a window (the first of equals) and the last frame of the window up to it that is at most ``level``."""
     rise = df.select(KEY, FRAME, c, (F.col(c) - F.lag(c).over(by_cell())).alias("__rise"))

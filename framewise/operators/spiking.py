@@ -338,14 +338,15 @@ def two_rounds(df: DataFrame, c: str, rate: float, seconds: float, median: int,
     round peaks inside of a burst must pass ``complex_mads`` and are complex, with the burst's first frame, where at least ``least`` of them do; peaks outside must
     pass ``simple_mads`` and are simple.
     """
-    from framewise.operators.detectors import first_round
+    from framewise.operators.detectors import scored_peaks
 
-    segment, slim = int(seconds * rate), stored(df.select(KEY, FRAME, c), "rounds-trace")
-    first = stored(first_round(slim, c, median, segment, mads).select(KEY, FRAME), "first-round")
+    slim = stored(df.select(KEY, FRAME, c), "rounds-trace")
+    #: What a peak passes tells all rounds, so the running median and the segments' percentiles are worked out once.
+    scored = stored(scored_peaks(slim, c, median, int(seconds * rate), {"first": mads, "inner": complex_mads, "outer": simple_mads}), "scored-peaks")
+    first = scored.where(F.col("first")).select(KEY, FRAME)
     found = stored(complex_bursts(slim, c, first, rate, seconds, method="crossings", mads=burst_mads).select(KEY, "lo", "hi").withColumn("burst", F.col("lo")).dropDuplicates([KEY, "lo"]), "round-bursts")
-    again = lambda m: stored(first_round(slim, c, median, segment, m).select(KEY, FRAME), "second-round")
-    inside = I.points_inside(again(complex_mads), found, "burst").select(KEY, FRAME, "burst")
+    inside = I.points_inside(scored.where(F.col("inner")).select(KEY, FRAME), found, "burst").select(KEY, FRAME, "burst")
     full = inside.groupBy(KEY, "burst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(KEY, "burst")
     complex_ = inside.join(full, [KEY, "burst"]).groupBy(KEY, FRAME).agg(F.min("burst").alias("lo")).select(KEY, FRAME, F.lit("complex").alias("kind"), "lo")
-    outside = I.covered(again(simple_mads), found, "__in").where("not __in")
+    outside = I.covered(scored.where(F.col("outer")).select(KEY, FRAME), found, "__in").where("not __in")
     return complex_.unionByName(outside.select(KEY, FRAME, F.lit("simple").alias("kind"), F.lit(None).cast("long").alias("lo")))

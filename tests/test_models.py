@@ -457,3 +457,16 @@ def test_exact_percentiles_by_brackets(spark, monkeypatch, width):
     got = {r.k: (r.a, r.b, r.c) for r in movies.exact_percentiles(spark.createDataFrame(pdf), "v", {"a": 0.01, "b": 0.5, "c": 0.99}, "k").collect()}
     want = {k: tuple(np.quantile(x, [0.01, 0.5, 0.99])) for k, x in pdf.groupby("k").v}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_scored_peaks_are_those_of_each_round(spark):
+    """Rounds at several heights come from one running median."""
+    from framewise.operators import detectors
+
+    g = np.random.default_rng(8)
+    df = spark.createDataFrame(pd.DataFrame({"cell": np.repeat([1, 2], 300), "frame": np.tile(np.arange(300), 2), "v": g.standard_normal(600)}))
+    rounds = {"low": 0.5, "high": 2.0}
+    got = detectors.scored_peaks(df, "v", 11, 100, rounds).toPandas()
+    for name, mads in rounds.items():
+        want = detectors.first_round(df, "v", 11, 100, mads).toPandas()
+        assert len(want) and set(zip(want.cell, want.frame, strict=True)) == set(zip(got[got[name]].cell, got[got[name]].frame, strict=True))
