@@ -24,6 +24,11 @@ WELCH = 1000
 PLACES = 2001
 
 
+def stored_rows(df: DataFrame, tag: str) -> DataFrame:
+    """``stored``, joined by sorting only: a file of frames or peaks that is small enough for Spark to broadcast may be many times as large in the driver's memory."""
+    return stored(df, tag).hint("merge")
+
+
 def segmented(df: DataFrame, size: int, trace: DataFrame | None = None) -> DataFrame:
     """``df`` (cell, frame, ...) with ``cell:segment`` as its key and frames counted from the segment's start: segments of ``size`` frames, a last one of less than half joined to the one before.
 
@@ -157,15 +162,15 @@ def refined_spikes(df: DataFrame, c: str, spikes: DataFrame | None, size: int, i
     trace), and peaks that reach the adaptive threshold of their heights are spikes.  Segments without a lone spike give none.
     """
     kind, slim = df.schema[KEY].dataType.simpleString(), df.select(KEY, FRAME, c)
-    trace = stored(interpolated(segmented(slim, size), c, "__v").where("__v is not null").select(KEY, FRAME, c, "__v"), "segments")
+    trace = stored_rows(interpolated(segmented(slim, size), c, "__v").where("__v is not null").select(KEY, FRAME, c, "__v"), "segments")
     if spikes is None:
         given = plateau_peaks(trace.select(KEY, FRAME, "__v"), "__v", float("-inf"))
     else:
         given = segmented(spikes.select(KEY, FRAME).distinct(), size, slim).join(trace.where(F.col(c).isNotNull()).select(KEY, FRAME), [KEY, FRAME])
-    seeds = stored(template_spikes(trace, "__v", given, isi, least), "template-spikes")
+    seeds = stored_rows(template_spikes(trace, "__v", given, isi, least), "template-spikes")
     base = median_edge(trace.select(KEY, FRAME, "__v"), "__v", median, "__base")
     flat = base.select(KEY, FRAME, (F.col("__v") - F.col("__base")).alias("flat")).join(seeds.groupBy(KEY).agg(F.count(F.lit(1)).alias("__seeds")), KEY)
-    peaks = stored(plateau_peaks(whitened_matched(flat, "flat", seeds, half, "filtered"), "filtered", float("-inf")), "filtered-peaks")
+    peaks = stored_rows(plateau_peaks(whitened_matched(flat, "flat", seeds, half, "filtered"), "filtered", float("-inf")), "filtered-peaks")
     #: A segment with few lone spikes asks for no more than it has.
     heights = adaptive_thresholds(peaks.join(seeds.groupBy(KEY).agg(F.count(F.lit(1)).alias("__seeds")), KEY), "filtered", pnorm, "__seeds")
     return unsegmented(peaks.join(heights.select(KEY, "height", "few"), KEY).where("filtered >= height"), size, kind, FRAME)
@@ -309,22 +314,22 @@ def complex_bursts(
     frames = lambda ms: max(1, int(ms * rate / 1000))
     apart, most, columns = frames(20), frames(most_ms), (FRAME, "lo", "hi", "peak", "loc")
     #: Each step is a written table, as later ones read it several times.
-    trace = stored(interpolated(segmented(slim, size), c, "__v").where("__v is not null").select(KEY, FRAME, F.col(c).isNotNull().alias("known"), F.col("__v").alias("v")), "segments")
-    given = stored(segmented(spikes.select(KEY, FRAME).distinct(), size, slim).join(trace.where("known").select(KEY, FRAME), [KEY, FRAME]), "given-spikes")
-    smooth = stored(spikeless(trace, "v", given, int(isi_ms * rate / 1000), frames(40) // 2, 11, "mf"), "smooth")
-    low = stored(_centred(stored(butterworth(smooth, "mf", "__low", cut_hz / rate, "low", 3), "low-pass"), "__low", "slow"), "slow")
+    trace = stored_rows(interpolated(segmented(slim, size), c, "__v").where("__v is not null").select(KEY, FRAME, F.col(c).isNotNull().alias("known"), F.col("__v").alias("v")), "segments")
+    given = stored_rows(segmented(spikes.select(KEY, FRAME).distinct(), size, slim).join(trace.where("known").select(KEY, FRAME), [KEY, FRAME]), "given-spikes")
+    smooth = stored_rows(spikeless(trace, "v", given, int(isi_ms * rate / 1000), frames(40) // 2, 11, "mf"), "smooth")
+    low = stored_rows(_centred(stored_rows(butterworth(smooth, "mf", "__low", cut_hz / rate, "low", 3), "low-pass"), "__low", "slow"), "slow")
     #: Of peaks too near each other the taller stays, so a height may come after that.
-    first = stored(find_peaks(low, "slow", float("-inf"), apart), "slow-peaks")
+    first = stored_rows(find_peaks(low, "slow", float("-inf"), apart), "slow-peaks")
     if method == "crossings":
         heights = low.groupBy(KEY).agg((mads * F.percentile(F.abs("slow"), 0.5)).alias("height"))
         peaks = first.join(heights, KEY).where("slow >= height")
-        return unsegmented(burst_features(stored(brackets_by_crossings(low, "slow", peaks, heights, most), "brackets"), smooth, "mf"), size, kind, *columns)
-    seeds = stored(first.join(adaptive_thresholds(first, "slow", 0.25, least, most_templates).select(KEY, "height"), KEY).where("slow >= height").select(KEY, FRAME), "template-bursts")
-    told = stored(whitened_matched(low.join(seeds.select(KEY).distinct(), KEY), "slow", seeds, int(np.ceil(half_ms * rate / 1000)), "told"), "told")
-    peaks = stored(find_peaks(told, "told", float("-inf"), apart), "told-peaks")
+        return unsegmented(burst_features(stored_rows(brackets_by_crossings(low, "slow", peaks, heights, most), "brackets"), smooth, "mf"), size, kind, *columns)
+    seeds = stored_rows(first.join(adaptive_thresholds(first, "slow", 0.25, least, most_templates).select(KEY, "height"), KEY).where("slow >= height").select(KEY, FRAME), "template-bursts")
+    told = stored_rows(whitened_matched(low.join(seeds.select(KEY).distinct(), KEY), "slow", seeds, int(np.ceil(half_ms * rate / 1000)), "told"), "told")
+    peaks = stored_rows(find_peaks(told, "told", float("-inf"), apart), "told-peaks")
     peaks = peaks.join(adaptive_thresholds(peaks, "told", pnorm, least).select(KEY, "height"), KEY).where("told >= height").select(KEY, FRAME)
     ends = low.groupBy(KEY).agg(F.min(FRAME).alias("first"), F.max(FRAME).alias("last"))
-    brackets = stored(brackets_by_troughs(peaks, troughs(low, "slow", frames(trough_ms), prominence), ends, frames(least_ms), most), "brackets")
+    brackets = stored_rows(brackets_by_troughs(peaks, troughs(low, "slow", frames(trough_ms), prominence), ends, frames(least_ms), most), "brackets")
     found = burst_features(brackets, smooth, "mf")
     ident = found.withColumn("burst", F.struct("lo", "hi", "peak"))
     held = I.count_inside(given, ident.select(KEY, "burst", "lo", "hi"), "burst").where("n > 0").select(KEY, "burst")
@@ -340,11 +345,11 @@ def two_rounds(df: DataFrame, c: str, rate: float, seconds: float, median: int,
     """
     from framewise.operators.detectors import scored_peaks
 
-    slim = stored(df.select(KEY, FRAME, c), "rounds-trace")
+    slim = stored_rows(df.select(KEY, FRAME, c), "rounds-trace")
     #: What a peak passes tells all rounds, so the running median and the segments' percentiles are worked out once.
-    scored = stored(scored_peaks(slim, c, median, int(seconds * rate), {"first": mads, "inner": complex_mads, "outer": simple_mads}), "scored-peaks")
+    scored = stored_rows(scored_peaks(slim, c, median, int(seconds * rate), {"first": mads, "inner": complex_mads, "outer": simple_mads}), "scored-peaks")
     first = scored.where(F.col("first")).select(KEY, FRAME)
-    found = stored(complex_bursts(slim, c, first, rate, seconds, method="crossings", mads=burst_mads).select(KEY, "lo", "hi").withColumn("burst", F.col("lo")).dropDuplicates([KEY, "lo"]), "round-bursts")
+    found = stored_rows(complex_bursts(slim, c, first, rate, seconds, method="crossings", mads=burst_mads).select(KEY, "lo", "hi").withColumn("burst", F.col("lo")).dropDuplicates([KEY, "lo"]), "round-bursts")
     inside = I.points_inside(scored.where(F.col("inner")).select(KEY, FRAME), found, "burst").select(KEY, FRAME, "burst")
     full = inside.groupBy(KEY, "burst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(KEY, "burst")
     complex_ = inside.join(full, [KEY, "burst"]).groupBy(KEY, FRAME).agg(F.min("burst").alias("lo")).select(KEY, FRAME, F.lit("complex").alias("kind"), "lo")

@@ -470,3 +470,12 @@ def test_scored_peaks_are_those_of_each_round(spark):
     for name, mads in rounds.items():
         want = detectors.first_round(df, "v", 11, 100, mads).toPandas()
         assert len(want) and set(zip(want.cell, want.frame, strict=True)) == set(zip(got[got[name]].cell, got[got[name]].frame, strict=True))
+
+
+def test_stored_peaks_are_not_broadcast(spark):
+    """Files of peaks under 10 MB went through the driver as broadcasts before, however many rows they held."""
+    peaks = spiking.stored_rows(spark.range(50).select(F.col("id").cast("string").alias("cell"), F.col("id").alias("frame")), "test-peaks")
+    one = spark.range(2000).select(F.col("id").cast("string").alias("cell"))
+    for joined in (one.join(peaks, "cell"), one.join(peaks.groupBy("cell").agg(F.max("frame").alias("frame")), "cell"), one.join(peaks.where("frame > 3").select("cell"), "cell", "left")):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
