@@ -16,11 +16,18 @@ def in_all_sessions(df: DataFrame, condition: Column, sessions: int = 2) -> Data
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """(by, rho): correlation of average ranks of rows that hold both values; null where one of them is constant."""
+    """(by, rho): correlation of average ranks of rows that hold both values; null where one of them is constant.
+
+    Covariance over the product of standard deviations, from sums of whole numbers (twice the ranks), so the order of rows doesn't show in rho.
+    """
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = average_rank(average_rank(both, a, "__ra", *by), b, "__rb", *by)
-    g = ranked.groupBy(*by).agg(F.covar_pop("__ra", "__rb").alias("__c"), F.var_pop("__ra").alias("__va"), F.var_pop("__rb").alias("__vb"))
-    return g.select(*by, (F.col("__c") / F.nullif(F.sqrt(F.col("__va") * F.col("__vb")), F.lit(0.0))).alias("rho"))
+    twice = {c: (2 * F.col(c)).cast("decimal(13,0)") for c in ("__ra", "__rb")}
+    n = F.count(F.lit(1)).cast("decimal(10,0)")
+    # twice the ranks of n rows add up to n (n + 1), with ties or without
+    moment = lambda x, y: (F.sum(twice[x] * twice[y]) - n * (n + 1) * (n + 1)).cast("double") / (4 * n).cast("double")
+    g = ranked.groupBy(*by).agg(moment("__ra", "__rb").alias("__c"), moment("__ra", "__ra").alias("__va"), moment("__rb", "__rb").alias("__vb"))
+    return g.select(*by, (F.col("__c") / F.nullif(F.sqrt("__va") * F.sqrt("__vb"), F.lit(0.0))).alias("rho"))
 
 
 def named_condition(c: Column, aliases: dict[str, str]) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from framewise.operators import cells, grids, intervals, sequence, signals, statistics
 from framewise.sources import recordings
 from framewise.streaming.spike_sessions import drained, event_sessions
+from tests.compare import rows, sql_rows
 
 
 def spans(df):
@@ -108,3 +109,28 @@ def test_rank_correlation_of_constants_is_null(spark):
     rows = [(1, 2.0, 1.0), (1, 2.0, 3.0), (1, 2.0, 2.0), (2, 1.0, 5.0), (2, 2.0, 5.0), (3, 1.0, 1.0), (4, 1.0, 3.0), (4, 2.0, 1.0), (4, 3.0, 2.0)]
     got = {r.k: r.rho for r in cells.rank_correlation(spark.createDataFrame(rows, "k long, a double, b double"), "a", "b", "k").collect()}
     assert got == {1: None, 2: None, 3: None, 4: -0.5}
+
+
+def test_rank_correlation_of_rows_in_any_order(spark):
+    rng, pairs = np.random.default_rng(4), np.array([(4, 1), (1, 2), (1, 2), (1, 1), (1, 1), (4, 1), (3, 3), (2, 5), (5, 4), (2, 1), (6, 2)], float)
+    shuffled = [(k, *map(float, p)) for k in range(200) for p in rng.permutation(pairs)]
+    got = cells.rank_correlation(spark.createDataFrame(shuffled, "k long, a double, b double"), "a", "b", "k").collect()
+    ra, rb = (2 * pd.Series(c).rank().to_numpy() - len(pairs) - 1 for c in pairs.T)
+    assert len(got) == 200 and {r.rho for r in got} == {(ra @ rb) / (4 * len(pairs)) / (((ra @ ra) / (4 * len(pairs))) ** 0.5 * ((rb @ rb) / (4 * len(pairs))) ** 0.5)}
+    assert [r.rho for r in cells.rank_correlation(spark.createDataFrame([], "a double, b double"), "a", "b").collect()] == [None]
+
+
+def test_similar_occupancy_at_its_threshold(spark, tmp_path):
+    """Cells whose rho is -0.5 but for the last bit, which is the same in the SQL in whatever order their rows come; cells 0 to 2 are above the threshold by it."""
+    from framewise.catalog import QUERIES, SQL
+
+    occupancy = [
+        [(3, 2), (3, 1), (1, 2)], [(2, 2), (1, 3), (2, 1), (2, 2), (4, 2), (2, 2)], [(2, 2), (1, 3), (2, 1), (4, 2), (2, 2), (2, 2)],
+        [(1, 2), (2, 3), (3, 1)],
+    ]
+    at = [(cell, day, 6.0 * (b % 6), 6 * (b // 6)) for cell, bins in enumerate(occupancy) for b, pair in enumerate(bins) for day, n in zip((1, 20), pair) for _ in range(n)]
+    events = pd.DataFrame({"event_id": range(len(at)), "ts": [pd.Timestamp(2024, 1, a[1]) + pd.Timedelta(seconds=i) for i, a in enumerate(at)], "user_id": [a[0] for a in at], "event_type": "click", "value": [a[2] for a in at], "props": [f'{{"k": {a[3]}}}' for a in at]})
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events.to_parquet(tmp_path / "events.parquet")
+    got = rows(QUERIES["p10_similar_occupancy"](spark, str(tmp_path)).toPandas())
+    assert got == rows(sql_rows(str(tmp_path), SQL["p10_similar_occupancy"])) and [c for c, _ in got] == [0, 1, 2]
